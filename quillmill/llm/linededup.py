@@ -195,7 +195,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_le
         for texts, dropped in batches:
             yield pd.Series([t if d is None else "\n".join(_split(t, d, min_length)[1]) for t, d in zip(texts, dropped)], dtype=object)
 
-    joined = (docs.select(key, text) if digest else docs).join(lost, docs[key].cast("long").eqNullSafe(lost["__quillmill_id"]), "left").drop("__quillmill_id")
+    # A merge join at every size: what documents lose grows with them, so it is no side to broadcast.
+    joined = (docs.select(key, text) if digest else docs).join(lost.hint("merge"), docs[key].cast("long").eqNullSafe(lost["__quillmill_id"]), "left").drop("__quillmill_id")
     if digest:
         s = summary(F.col(text), F.col("__quillmill_dropped"))
         return joined.select(F.col(key).alias("doc_id"), s.alias("s")).select("doc_id", "s.*")
