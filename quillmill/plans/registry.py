@@ -1,11 +1,13 @@
 """All queries of the library by name."""
 
+from . import text_queries
+
 FLAGSHIP = "composite_health"
 
 
 def queries():
-    return {}
+    return dict(text_queries.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(text_queries.SQL)
