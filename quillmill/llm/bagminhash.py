@@ -12,12 +12,13 @@ similarity, so the share of agreeing slots is an unbiased estimate of it.
 Documents of equal multisets are first folded into one class. Bands of signature rows give the
 candidates; their estimate, then the exact multiset overlap, decides. In each band each class is
 compared with the least class of its bucket, and links are joined to components. Then, in buckets
-whose other members are still in several components, all pairs of different components are
-compared, block by block, so that no candidate link is lost. Components are found on the cluster,
-by taking turns of linking to the least neighbour.
+whose other members are still in several components, pairs of different components are verified,
+block by block, until they have met or all their candidates are tried, so that no candidate link
+between components is lost. Components are found on the cluster, by taking turns of linking to
+the least neighbour.
 
 Skew: copies fold by partial aggregation; the first comparison is linear in a bucket; the second
-sees only what is left, in blocks of ``block`` members. Nothing of all documents reaches the driver.
+sees only what is left, in blocks of ``block`` members, and returns a block's spanning links. Nothing of all documents reaches the driver.
 
 Cases: null texts and texts without words are in a class of their own. Documents with a null id
 link to nothing and have a null class. Rows that share an id each have a result row, with the class
@@ -212,33 +213,55 @@ class _Linker:
         met = pairs.join(sig.select(F.col("bag").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("bag").alias("b"), F.col("sig").alias("sb")), "b")
         return met.where(agreement("sa", "sb") >= self.estimate).select("a", "b")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose multisets overlap enough."""
-        pairs = written(pairs)
-        bags = pairs.select(F.col("a").alias("bag")).union(pairs.select("b")).distinct()
+    def contents(self, bags: DataFrame) -> DataFrame:
+        """bag, content (all shingle hashes, sorted) of the given classes, from the text of one document each."""
         wanted = written(self.classes.join(bags, "bag").select("doc_id"))
         if wanted.count() <= 1_000_000:  # 8 MB of ids can be broadcast; more are met by a shuffle
             wanted = F.broadcast(wanted)
         rows = self.docs.select(F.col(self.key).cast("long").alias("doc_id"), F.col(self.text).alias("text")).join(wanted, "doc_id", "left_semi")
-        contents = written(rows.select("text").mapInPandas(_contents, fields("bag binary, content binary")).dropDuplicates(["bag"]))
+        return written(rows.select("text").mapInPandas(_contents, fields("bag binary, content binary")).dropDuplicates(["bag"]))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose multisets overlap enough."""
+        pairs = written(pairs)
+        contents = self.contents(pairs.select(F.col("a").alias("bag")).union(pairs.select("b")).distinct())
         overlap = F.pandas_udf(_overlap, "double")
         met = pairs.join(contents.select(F.col("bag").alias("a"), F.col("content").alias("ca")), "a").join(contents.select(F.col("bag").alias("b"), F.col("content").alias("cb")), "b")
         return written(met.where(overlap("ca", "cb") >= self.least).select("a", "b"))
 
 
-def _pairs_apart(group: pd.DataFrame, estimate: float) -> pd.DataFrame:
-    """Pairs of different components in one block of a bucket whose signatures agree often enough."""
+def _links_apart(group: pd.DataFrame, estimate: float, least: float) -> pd.DataFrame:
+    """Links between different components in one block of a bucket: candidates whose signatures
+    agree often enough are verified, the likeliest first, unless their components have met
+    meanwhile. So a block returns fewer links than it has members, and none is lost."""
     sig = np.frombuffer(b"".join(group["sig"]), dtype="<u2").reshape(-1, SLOTS)
-    bag, root, side = group["bag"].to_numpy(), pd.factorize(group["root"].map(bytes))[0], group["side"].to_numpy()
+    bag = [bytes(x) for x in group["bag"]]
+    content = [np.frombuffer(x, dtype="<u8") for x in group["content"]]
+    start, side = pd.factorize(group["root"].map(bytes))[0], group["side"].to_numpy()
+    parent = list(range(int(start.max()) + 1))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
     own = bool((group["x"] == group["y"]).all())
     out = []
     for i in range(len(bag)):
         if not own and side[i] != 0:
             continue
         others = np.arange(i + 1, len(bag)) if own else np.flatnonzero(side == 1)
-        others = others[root[others] != root[i]]
-        for j in others[(sig[others] == sig[i]).mean(axis=1) >= estimate]:
-            out.append((min(bytes(bag[i]), bytes(bag[j])), max(bytes(bag[i]), bytes(bag[j]))))
+        others = others[start[others] != start[i]]
+        agreement = (sig[others] == sig[i]).mean(axis=1)
+        for at in np.argsort(-agreement, kind="stable"):
+            if agreement[at] < estimate:
+                break
+            j = others[at]
+            a, b = find(start[i]), find(start[j])
+            if a != b and similarity(content[i], content[j]) >= least:
+                parent[a] = b
+                out.append((bag[i], bag[j]))
     return pd.DataFrame(out, columns=["a", "b"])
 
 
@@ -259,15 +282,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     rest = members.where("bag <> star and n > 2").join(roots.withColumnRenamed("node", "bag"), "bag", "left").withColumn("root", F.coalesce("root", "bag"))
     mixed_up = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
     rest = rest.select("bucket", "bag", "root").join(mixed_up.select("bucket", F.ceil(F.col("m") / block).cast("int").alias("parts")), "bucket")
-    rest = rest.join(classes.select("bag", "sig"), "bag").withColumn("own", F.pmod(F.xxhash64("bag", F.lit(5)), F.col("parts")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select(
-        "bucket", "bag", "root", "sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")
-    )
-    apart = rest.groupBy("bucket", "x", "y").applyInPandas(lambda g: _pairs_apart(g, estimate), fields("a binary, b binary"))
-    more = written(apart.distinct())
-    if not more.isEmpty():
-        links = linker.verified(more).unionByName(links)
-        roots = written(components(links))
+    rest = written(rest)
+    if not rest.isEmpty():
+        contents = linker.contents(rest.select("bag").distinct())
+        rest = rest.join(classes.select("bag", "sig"), "bag").join(contents, "bag").withColumn("own", F.pmod(F.xxhash64("bag", F.lit(5)), F.col("parts")).cast("int"))
+        rest = rest.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select(
+            "bucket", "bag", "root", "sig", "content", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")
+        )
+        more = written(rest.groupBy("bucket", "x", "y").applyInPandas(lambda g: _links_apart(g, estimate, least), fields("a binary, b binary")))
+        if not more.isEmpty():
+            roots = written(components(links.unionByName(more)))
 
     of_class = classes.select("bag", "doc_id").join(roots.withColumnRenamed("node", "bag"), "bag", "left").withColumn("root", F.coalesce("root", "bag"))
     ids = of_class.groupBy("root").agg(F.min("doc_id").alias("class_id"))
