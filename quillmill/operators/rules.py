@@ -80,10 +80,6 @@ def _patterns(rule: dict) -> list[str]:
     return [quoted(t) for t in rule.get("tokens") or []] + [r for r in rule.get("raw") or [] if compiles(r)]
 
 
-def _none() -> Column:
-    return F.lit(None).cast(MATCH)
-
-
 def _joined(arrays: list[Column]) -> Column:
     return F.concat(*arrays) if arrays else F.expr(f"cast(array() as {MATCH})")
 
@@ -195,28 +191,36 @@ def compile_rule(rule: dict, text: Column) -> Column:
     return F.flatten(F.transform(segments(text, rule.get("scope") or "text"), lambda s: T.let(s, lambda x: handler(x, rule))))
 
 
+def _named(rule: dict):
+    """A match with what its rule says."""
+    action = (rule.get("action") or {}).get("name")
+    params = (rule.get("action") or {}).get("params")
+    given = F.lit(params if action in ("replace", "suggest") and isinstance(params, str) else None).cast("string")
+
+    def of(m: Column) -> Column:
+        return F.struct(
+            F.lit(rule["id"]).alias("rule_id"),
+            F.lit(rule["type"]).alias("rule_type"),
+            F.lit(rule.get("level") or "warning").alias("level"),
+            F.lit(rule.get("message") or "").alias("message"),
+            F.lit(rule.get("scope") or "text").alias("scope"),
+            m.matched_text.alias("matched_text"),
+            m.line.alias("line"),
+            m.col.alias("col"),
+            F.lit("replace" if rule["type"] == "substitution" else action).cast("string").alias("action"),
+            F.coalesce(m.replacement, given).alias("replacement"),
+        )
+
+    return of
+
+
+NAMED = "array<struct<rule_id: string, rule_type: string, level: string, message: string, scope: string, matched_text: string, line: int, col: int, action: string, replacement: string>>"
+
+
 def rule_matches(rules: list[dict], text: Column) -> Column:
     """All rules' matches, in rule order: array of rule_id, rule_type, level, message, scope, action and the match."""
-    out = []
-    for rule in rules:
-        if rule["type"] == "script":
-            continue
-        action = (rule.get("action") or {}).get("name")
-        params = (rule.get("action") or {}).get("params")
-        given = F.lit(params if action in ("replace", "suggest") and isinstance(params, str) else None).cast("string")
-        out.append(
-            F.transform(
-                compile_rule(rule, text),
-                lambda m, r=rule, a=action, g=given: F.struct(
-                    F.lit(r["id"]).alias("rule_id"), F.lit(r["type"]).alias("rule_type"), F.lit(r.get("level") or "warning").alias("level"), F.lit(r.get("message") or "").alias("message"),
-                    F.lit(r.get("scope") or "text").alias("scope"), m.matched_text.alias("matched_text"), m.line.alias("line"), m.col.alias("col"),
-                    (F.lit("replace") if r["type"] == "substitution" else F.lit(a).cast("string")).alias("action"), F.coalesce(m.replacement, g).alias("replacement"),
-                ),
-            )
-        )
-    if not out:
-        return F.expr("cast(array() as array<struct<rule_id: string, rule_type: string, level: string, message: string, scope: string, matched_text: string, line: int, col: int, action: string, replacement: string>>)")
-    return F.concat(*out)
+    out = [F.transform(compile_rule(rule, text), _named(rule)) for rule in rules if rule["type"] != "script"]
+    return F.concat(*out) if out else F.expr(f"cast(array() as {NAMED})")
 
 
 def rule_flags(matches: Column, sentences: Column) -> Column:

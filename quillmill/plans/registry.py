@@ -1,6 +1,6 @@
 """All queries of the library by name."""
 
-from . import text_queries
+from . import rule_queries, text_queries  # noqa: F401  rule_queries adds to the same tables
 
 FLAGSHIP = "composite_health"
 
