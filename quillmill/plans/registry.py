@@ -1,6 +1,6 @@
 """All queries of the library by name."""
 
-from . import rule_queries, text_queries  # noqa: F401  rule_queries adds to the same tables
+from . import more_queries, rule_queries, text_queries  # noqa: F401  the other two add to the same tables
 
 FLAGSHIP = "composite_health"
 
