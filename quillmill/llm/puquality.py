@@ -120,7 +120,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return w
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, margin: float = 0.05) -> float:
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, margin: float = 1.0) -> float:
     """Best-bin estimate of the share of positives in the unlabelled rows, on rows apart from those that the first classifier learns from."""
     fit = np.concatenate([positive[0::2], unlabelled[0::2]])
     target = np.concatenate([np.ones(len(positive[0::2])), np.zeros(len(unlabelled[0::2]))])
