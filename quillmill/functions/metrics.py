@@ -90,25 +90,36 @@ def type_token_ratio(lowered: Column) -> Column:
     return let(F.filter(lowered, is_alphabetic), lambda ws: ratio(F.size(F.array_distinct(ws)), F.size(ws)))
 
 
+def previous_places(ws: Column) -> Column:
+    """For each word in order the place of its previous occurrence, or -1; by two sorts instead of a search for each word."""
+    found = F.sort_array(F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    linked = let(
+        found,
+        lambda s: F.transform(s, lambda x, k: F.struct(x.i.alias("i"), F.when((k > 0) & (F.get(s, k - 1).w == x.w), F.get(s, k - 1).i).otherwise(-1).alias("p"))),
+    )
+    return F.transform(F.sort_array(linked), lambda x: x.p)
+
+
 def mtld_pass(ws: Column, threshold: float = 0.72) -> Column:
-    """Words per factor in one direction. The types of a factor are kept in the fold's state and dropped when it ends, so the state stays small."""
-    start = F.expr("named_struct('types', cast(array() as array<string>), 'n', 0.0D, 'factors', 0.0D)")
+    """Words per factor in one direction. A word is a new type of its factor if its previous occurrence lies before the factor's start, so the fold's state is four numbers."""
+    start = F.struct(F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(0).alias("types"), F.lit(0.0).alias("factors"))
 
-    def step(a, w):
-        types = F.when(F.array_contains(a.types, w), a.types).otherwise(F.array_append(a.types, w))
-        n = a.n + 1.0
-        ended = F.size(types) / n <= threshold
+    def step(a, p):
+        types = a.types + F.when(p < a.start, 1).otherwise(0)
+        n = a.n + 1
+        ended = types / n <= threshold
         return F.struct(
-            F.when(ended, F.expr("cast(array() as array<string>)")).otherwise(types).alias("types"),
-            F.when(ended, F.lit(0.0)).otherwise(n).alias("n"),
+            F.when(ended, a.start + n).otherwise(a.start).alias("start"),
+            F.when(ended, 0).otherwise(n).alias("n"),
+            F.when(ended, 0).otherwise(types).alias("types"),
             F.when(ended, a.factors + 1.0).otherwise(a.factors).alias("factors"),
         )
 
     def end(a):
-        rest = F.when(a.n > 0, (1.0 - F.size(a.types) / F.greatest(a.n, F.lit(1.0))) / (1.0 - threshold)).otherwise(F.lit(0.0))
+        rest = F.when(a.n > 0, (1.0 - a.types / F.greatest(a.n, F.lit(1))) / (1.0 - threshold)).otherwise(F.lit(0.0))
         return ratio(F.size(ws), a.factors + rest)
 
-    return F.aggregate(ws, start, step, end)
+    return F.aggregate(previous_places(ws), start, step, end)
 
 
 def mtld(ws: Column) -> Column:

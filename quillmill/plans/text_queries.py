@@ -14,7 +14,7 @@ from ..functions import lexicons as L
 from ..functions import metrics as M
 from ..functions import text as T
 from ..operators import analysis as A
-from ..sources.tables import read_table
+from ..sources.tables import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,7 +71,7 @@ def r6(c: Column | str) -> Column:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.with_tokens(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text"]))
+    return A.with_tokens(spread(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text"])))
 
 
 def one(spark, sf_dir, name: str, c: Column) -> DataFrame:
@@ -410,7 +410,7 @@ SCORED = [d for d in L.DIMENSIONS if d != "semantic_preservation"]
 
 
 def health(spark, sf_dir, **how) -> DataFrame:
-    return A.analysed(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text"]), **how).where("token_count > 0")
+    return A.analysed(spread(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text"])), **how).where("token_count > 0")
 
 
 @query(HEALTH + " SELECT doc_id, " + ", ".join(f"round({d}, 6) AS {d}, " + _STATUS.format(d=d) for d in SCORED) + " FROM dim")

@@ -10,6 +10,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its files give fewer partitions than there are cores (a small table in one row group); else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < cores else df
+
+
 def read_texts(spark: SparkSession, path: str, kind: str = "parquet", text: str = "text", key: str | None = None, **options) -> DataFrame:
     """Documents (doc_id, text) from Parquet, JSON lines, CSV or plain text files (one document a file). Without a key column ids are made up."""
     if kind == "text":

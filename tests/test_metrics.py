@@ -86,7 +86,7 @@ def test_mtld_equals_python(df):
 
 def test_default_word_lists(df):
     found = {r.doc_id: r for r in A.with_derived_signals(A.with_tone(A.with_vocabulary(A.with_sentence_signals(A.with_naturalness(A.with_tokens(df)))))).collect()}
-    assert found[5].signals[1].hedge_words == ["sort of", "a bit", "more or less", "perhaps"]
+    assert found[5].signals[2].hedge_words == ["sort of", "a bit", "more or less", "perhaps"]
     assert found[5].contraction_density == pytest.approx(2 / len(TEXTS[5].split()))
     assert "i.e." in found[5].latin
     assert found[5].nominal == ["demonstration", "happiness"]
