@@ -11,7 +11,7 @@ from ..operators import compare as C
 from ..operators import deep as D
 from ..operators import rules as R
 from ..operators import search as S
-from ..sources.tables import read_table
+from ..sources.tables import read_table, spread
 from . import text_queries as Q
 from .text_queries import BASE, QUERIES, SQL, query, r6
 
@@ -19,7 +19,7 @@ EN = "FROM documents WHERE lang = 'en'"
 
 
 def english(spark, sf_dir) -> DataFrame:
-    return read_table(spark, sf_dir, "documents", ["doc_id", "lang", "text"]).where("lang = 'en'")
+    return spread(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "text"])).where("lang = 'en'")
 
 
 def counted(spark, sf_dir, rule: dict) -> DataFrame:
