@@ -45,7 +45,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return table(spark, sf_dir, "documents").select("doc_id", repetition("text").alias("r")).select("doc_id", "r.*")
+    made = table(spark, sf_dir, "documents").select("doc_id", repetition("text").alias("r"))
+    return made.select("doc_id", *(f"r.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
