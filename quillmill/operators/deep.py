@@ -91,6 +91,35 @@ def context_packets(sentences: Column, most_words: int = 30) -> Column:
     return T.let(sentences, of)
 
 
+def listed_hits(sentence: Column, phrases: list[str]) -> Column:
+    """Which of the phrases a sentence holds, whatever its case, in the order of the list."""
+    return F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(F.lower(sentence), F.lower(p))) if phrases else F.expr("cast(array() as array<string>)")
+
+
+def context_string(
+    packet: Column, grade: Column | None = None, sentiment: Column | None = None, ai: Column | None = None, tone: dict[str, float] | None = None, avoid: Column | None = None, prefer: Column | None = None
+) -> Column:
+    """A packet of ``context_packets`` and what else is known, as one line for a prompt. Parts that are null or empty are left out."""
+
+    def part(name: str, value: Column | None) -> Column:
+        return F.lit(None).cast("string") if value is None else F.when(value != "", F.concat(F.lit(f"{name}: "), value))
+
+    first = lambda hits: None if hits is None else F.array_join(F.slice(hits, 1, 5), ", ")
+    known = ", ".join(f"{k}={v:.1f}" for k, v in (tone or {}).items())
+    return F.concat_ws(
+        " | ",
+        part("prev", packet["previous"]),
+        part("next", packet["next"]),
+        part("grade", None if grade is None else F.format_string("%.1f", grade)),
+        part("length", packet["length_class"]),
+        part("sentiment", sentiment),
+        part("ai", ai),
+        part("tone", F.lit(known) if known else None),
+        part("avoid", first(avoid)),
+        part("prefer", first(prefer)),
+    )
+
+
 def sentiment_label(compound: Column) -> Column:
     return F.when(compound >= 0.05, "positive").when(compound <= -0.05, "negative").otherwise("neutral")
 

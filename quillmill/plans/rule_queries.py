@@ -234,6 +234,16 @@ def context_packet(spark, sf_dir):
     return found.select("doc_id", F.col("sentence_index").cast("long").alias("idx"), F.col("n_words").cast("long").alias("n_words"), "length_class", "previous", "next")
 
 
+@query(
+    ", x AS (SELECT doc_id, idx, len(" + Q.WORDS_OF.format(x="sentence") + ") AS n_words, lag(sentence) OVER o AS p, lead(sentence) OVER o AS n FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY idx)) SELECT doc_id, idx, concat_ws(' | ', 'prev: ' || CASE WHEN p IS NOT NULL THEN "
+    + _CUT.format(x="p") + " END, 'next: ' || CASE WHEN n IS NOT NULL THEN " + _CUT.format(x="n") + " END, 'length: ' || CASE WHEN n_words < 10 THEN 'short' WHEN n_words <= 25 THEN 'medium' ELSE 'long' END, 'sentiment: neutral', 'tone: formality=0.8, warmth=0.3') AS context FROM x"
+)
+def context_string(spark, sf_dir):
+    found = Q.docs(spark, sf_dir).select("doc_id", F.explode(D.context_packets(F.col("sentences"))).alias("p"))
+    made = D.context_string(F.col("p"), sentiment=D.sentiment_label(F.lit(0.0)), tone={"formality": 0.8, "warmth": 0.3})
+    return found.select("doc_id", F.col("p.sentence_index").cast("long").alias("idx"), made.alias("context"))
+
+
 @query(Q.NATURAL + " SELECT doc_id, (4 + CASE WHEN b < 0.20 AND h < 0.35 AND z > 0.96 THEN 1 ELSE 0 END + CASE WHEN lang = 'en' THEN 1 ELSE 0 END)::BIGINT AS n_tasks FROM nat")
 def task_gating(spark, sf_dir):
     found = A.with_naturalness(Q.docs(spark, sf_dir))
