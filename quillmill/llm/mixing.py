@@ -91,7 +91,7 @@ def coprime_step(seed: int, blocks: int) -> int:
     return step
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = 64, epochs: int = 3, shard_words: int = 1_000_000, max_shards: int = 8192, max_sources: int = 100_000, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = 16, epochs: int = 3, shard_words: int = 1_000_000, max_shards: int = 8192, max_sources: int = 100_000, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of ``carry``, size, source_size, target, taken and spans (array of first word, words, times) for each row of ``docs``."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
