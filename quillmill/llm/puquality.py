@@ -98,7 +98,7 @@ class Adam:
         return -self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.02, decay: float = 1e-4) -> np.ndarray:
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 250, rate: float = 0.02, decay: float = 1e-2) -> np.ndarray:
     """Weights (the last is the intercept) of least non-negative risk with logistic loss."""
     w = np.zeros(positive.shape[1] + 1)
     adam = Adam(len(w), rate)
