@@ -21,8 +21,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-#: Entries after which a worker's cache of words starts anew.
-CACHE_WORDS = 300_000
+#: Entries after which a worker's caches of words and of fragments start anew.
+CACHE_WORDS, CACHE_FRAGMENTS = 100_000, 50_000
 
 
 def byte_letters() -> list[str]:
@@ -106,7 +106,7 @@ class BoundaryBPE:
                 fragment = tuple(self.inner[s] if s < 256 else self.final[s - 256] for s in symbols[start:i])
                 found = self.fragments.get(fragment)
                 if found is None:
-                    if len(self.fragments) > CACHE_WORDS:
+                    if len(self.fragments) > CACHE_FRAGMENTS:
                         self.fragments.clear()
                     found = self.fragments[fragment] = self._merged(fragment)
                 ids += found
@@ -146,7 +146,7 @@ class BoundaryBPE:
 
     def decode(self, ids) -> str:
         """The tokens joined by a space, as for a file without a decoder; special tokens stay."""
-        return " ".join(self.tokens[int(i)] for i in ids)
+        return " ".join([self.tokens[int(i)] for i in ids])
 
 
 _LOADED: dict[bytes, BoundaryBPE] = {}
@@ -192,6 +192,20 @@ def bpe_decode(spark: SparkSession, path: str):
     return decode
 
 
+def bpe_round_trip(spark: SparkSession, path: str):
+    """A function of a text column: struct of the ids, their number and the text decoded from them, in one pass of one worker."""
+    file = _sent(spark, path)
+
+    @F.pandas_udf("ids array<int>, n_tokens long, decoded string")
+    def round_trip(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe = _loaded(file.value)
+        for texts in batches:
+            got = [np.frombuffer(b"".join(bpe.pieces(t)[0]), dtype="<i4") for t in texts]
+            yield pd.DataFrame({"ids": pd.Series(got, dtype=object), "n_tokens": np.array([len(g) for g in got], dtype=np.int64), "decoded": [bpe.decode(g.tolist()) for g in got]})
+
+    return round_trip
+
+
 def bpe_digests(spark: SparkSession, path: str):
     """A function of a text column: number of ids, hash of the ids, hash of the text decoded
     from the ids. One pass, in which neither ids nor decoded text leave the worker."""

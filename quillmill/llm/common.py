@@ -13,14 +13,14 @@ from pyspark.sql import types as T
 #: A word: a run without the space and the five control characters of white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters that one numpy pass handles at a time; bounds a Python worker's memory.
-CHUNK_CHARS = 400_000
+CHUNK_CHARS = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Lower the rows of an Arrow batch, so that whole long texts fit a worker's memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
