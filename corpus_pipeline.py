@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm.bagminhash import without_near_duplicates
-from quillmill.llm.bpe import bpe_decode, bpe_encode
+from quillmill.llm.bpe import bpe_round_trip
 from quillmill.llm.common import fold_of, small_batches, table, written
 from quillmill.llm.langid import UNKNOWN, fit_language_model, predict_language
 from quillmill.llm.linededup import dedup_lines
@@ -50,9 +50,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each row's text, and the text decoded from them."""
     small_batches(spark)
-    path = vocabulary_path()
-    ids = docs.select("doc_id", "lang", "source", bpe_encode(spark, path)("text").alias("ids"))
-    return ids.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), bpe_decode(spark, path)("ids").alias("decoded"))
+    made = docs.select("doc_id", "lang", "source", bpe_round_trip(spark, vocabulary_path())("text").alias("b"))
+    return made.select("doc_id", "lang", "source", "b.*")
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("bpe", bpe)]
