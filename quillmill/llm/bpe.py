@@ -63,6 +63,7 @@ class BoundaryBPE:
         self.narrow = re.compile(split.replace(r"\p{L}", narrow[r"\p{L}"]).replace(r"\p{N}", narrow[r"\p{N}"]).replace(r"\s", narrow[r"\p{White_Space}"]))
         self.beyond = re.compile("[^\x00-\u017f]")
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.most_words, self.most_fragments = CACHE_WORDS, CACHE_FRAGMENTS
         self.words: dict[str, tuple[bytes, str, int]] = {}
         self.fragments: dict[tuple[int, ...], list[int]] = {}
 
@@ -106,7 +107,7 @@ class BoundaryBPE:
                 fragment = tuple(self.inner[s] if s < 256 else self.final[s - 256] for s in symbols[start:i])
                 found = self.fragments.get(fragment)
                 if found is None:
-                    if len(self.fragments) > CACHE_FRAGMENTS:
+                    if len(self.fragments) > self.most_fragments:
                         self.fragments.clear()
                     found = self.fragments[fragment] = self._merged(fragment)
                 ids += found
@@ -132,7 +133,7 @@ class BoundaryBPE:
         known = self.words
         new = set(words).difference(known)
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
+            if len(known) + len(new) > self.most_words:
                 known.clear()
                 new = set(words)
             for w in new:
@@ -152,11 +153,12 @@ class BoundaryBPE:
 _LOADED: dict[bytes, BoundaryBPE] = {}
 
 
-def _loaded(file: bytes) -> BoundaryBPE:
+def _loaded(file: bytes, words: int = CACHE_WORDS, fragments: int = CACHE_FRAGMENTS) -> BoundaryBPE:
     key = hashlib.sha256(file).digest()
     if key not in _LOADED:
         _LOADED.clear()
         _LOADED[key] = BoundaryBPE(file)
+    _LOADED[key].most_words, _LOADED[key].most_fragments = words, fragments
     return _LOADED[key]
 
 
@@ -213,7 +215,7 @@ def bpe_digests(spark: SparkSession, path: str):
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe = _loaded(file.value)
+        bpe = _loaded(file.value, 4 * CACHE_WORDS, 4 * CACHE_FRAGMENTS)  # digests need little memory besides
         for texts in batches:
             rows = []
             for t in texts:
