@@ -65,15 +65,21 @@ def at(segment: Column, start: Column, hit: Column, replacement: Column | None =
     return match(hit, F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1, F.when(has, start - last).otherwise(start + 1), replacement)
 
 
-def occurrences(segment: Column, pattern: str, replacement: Column | None = None) -> Column:
-    """Every hit with its place. Pieces between hits and hits alternate, so a hit starts after all pieces up to it and all hits before it."""
+def split_at(segment: Column, pattern: str) -> Column:
+    """Struct of hits and the pieces around them. Both alternate, so a hit starts after all pieces up to it and all hits before it."""
     p = _FLAGS + pattern
-    length = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
+    return F.struct(F.regexp_extract_all(segment, F.lit(p), F.lit(0)).alias("hits"), F.split(segment, p, -1).alias("pieces"))
 
-    def of(v: Column) -> Column:
-        return F.transform(v.hits, lambda h, k: at(segment, length(F.slice(v.pieces, 1, k + 1)) + length(F.slice(v.hits, 1, k)), h, replacement))
 
-    return T.let(F.struct(F.regexp_extract_all(segment, F.lit(p), F.lit(0)).alias("hits"), F.split(segment, p, -1).alias("pieces")), of)
+def hit_at(segment: Column, v: Column, k: Column, replacement: Column | None = None) -> Column:
+    """The match of hit ``k`` (from 0) of ``split_at``."""
+    length = lambda xs: F.length(F.array_join(xs, ""))
+    return at(segment, length(F.slice(v.pieces, 1, k + 1)) + length(F.slice(v.hits, 1, k)), F.get(v.hits, k), replacement)
+
+
+def occurrences(segment: Column, pattern: str, replacement: Column | None = None) -> Column:
+    """Every hit with its place."""
+    return T.let(split_at(segment, pattern), lambda v: F.transform(v.hits, lambda _, k: hit_at(segment, v, k, replacement)))
 
 
 def _patterns(rule: dict) -> list[str]:
@@ -101,22 +107,23 @@ def occurrence(s: Column, rule: dict) -> Column:
 
 
 def repetition(s: Column, rule: dict) -> Column:
-    """For each word that came before: a match at the word's second occurrence."""
+    """For each word that came before: a match at the word's second occurrence. Equal words are brought together by a sort; only second occurrences are placed."""
     wanted = [t.lower() for t in rule.get("tokens") or []]
 
-    def of(hits: Column) -> Column:
-        named = F.transform(hits, lambda h: F.lower(h.matched_text))
+    def of(v: Column) -> Column:
+        named = F.transform(v.hits, lambda h, i: F.struct(F.lower(h).alias("w"), i.alias("i")))
+        named = F.filter(named, lambda x: x.w.isin(wanted)) if wanted else named
 
-        def repeats(names: Column) -> Column:
-            again = F.filter(F.sequence(F.lit(0), F.greatest(F.size(names) - 1, F.lit(0))), lambda i: (F.size(names) > 0) & F.array_contains(F.slice(names, 1, i), F.get(names, i)))
-            if wanted:
-                again = F.filter(again, lambda i: F.get(names, i).isin(wanted))
-            first_two = lambda w: F.filter(hits, lambda h: F.lower(h.matched_text) == w)
-            return F.transform(again, lambda i: match(F.get(names, i), F.get(first_two(F.get(names, i)), F.lit(1)).line, F.get(first_two(F.get(names, i)), F.lit(1)).col))
+        def again(xs: Column) -> Column:
+            """Of the sorted words those that came before, by runs of equal ones, each with its run's match."""
+            starts = F.filter(F.sequence(F.lit(0), F.size(xs)), lambda k: (k == 0) | (k == F.size(xs)) | (F.get(xs, k - 1).w != F.get(xs, k).w))
+            runs = T.let(starts, lambda b: F.zip_with(F.slice(b, 1, F.size(b) - 1), F.slice(b, 2, F.size(b) - 1), lambda a, z: F.struct(a.alias("a"), (z - a).alias("n"))))
+            second = lambda r: T.let(hit_at(s, v, F.get(xs, r.a + 1).i), lambda m: F.transform(F.slice(xs, r.a + 2, r.n - 1), lambda x: F.struct(x.i.alias("i"), match(x.w, m.line, m.col).alias("m"))))
+            return F.flatten(F.transform(F.filter(runs, lambda r: r.n > 1), second))
 
-        return T.let(named, repeats)
+        return F.transform(F.sort_array(T.let(F.sort_array(named), again)), lambda x: x.m)
 
-    return T.let(occurrences(s, r"\b\w+\b"), of)
+    return T.let(split_at(s, r"\b\w+\b"), of)
 
 
 def consistency(s: Column, rule: dict) -> Column:

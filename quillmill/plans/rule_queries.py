@@ -53,6 +53,13 @@ def rule_repetition(spark, sf_dir):
     return found.select("doc_id", F.size("m").cast("long").alias("n_matches"))
 
 
+@query()
+def rule_repetition_whole(spark, sf_dir):
+    """Every document, of any length and language; what `rule_repetition` compares with SQL is a part of it."""
+    found = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return found.select("doc_id", F.size(R.compile_rule({"type": "repetition", "tokens": ["the", "of"]}, F.col("text"))).cast("long").alias("n_matches"))
+
+
 @query(f"SELECT doc_id, CASE WHEN a = 0 OR b = 0 THEN 0 ELSE least(a, b) END AS n_matches FROM (SELECT doc_id, {hits('with')} AS a, {hits('from')} AS b {EN})", base=False)
 def rule_consistency(spark, sf_dir):
     return counted(spark, sf_dir, {"type": "consistency", "either": {"with": "from"}})
