@@ -70,8 +70,10 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.with_tokens(spread(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text"])))
+def docs(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    """Documents of a language, or all."""
+    found = A.with_tokens(spread(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text"])))
+    return found.where(F.col("lang") == lang) if lang else found
 
 
 def one(spark, sf_dir, name: str, c: Column) -> DataFrame:
@@ -302,8 +304,8 @@ def contraction_density(spark, sf_dir):
 
 
 @query("SELECT doc_id, " + " + ".join(f"len(regexp_extract_all(array_to_string(ws, ' '), '(?i){p}'))" for p in LATIN_FOUND) + " AS n_found FROM t WHERE lang = 'en'")
-def latin_abbreviations(spark, sf_dir):
-    found = docs(spark, sf_dir).where("lang = 'en'").select("doc_id", M.latin_abbreviations(F.array_join("words", " "), LATIN_FOUND).alias("x"))
+def latin_abbreviations(spark, sf_dir, lang="en"):
+    found = docs(spark, sf_dir, lang).select("doc_id", M.latin_abbreviations(F.array_join("words", " "), LATIN_FOUND).alias("x"))
     return found.select("doc_id", F.size("x").cast("long").alias("n_found"))
 
 
@@ -338,13 +340,12 @@ h AS (SELECT *, CASE WHEN next_opens IS NOT NULL THEN 0.25 * coalesce(len(list_i
 
 
 def signalled(spark, sf_dir, lang: str | None = None) -> DataFrame:
-    found = docs(spark, sf_dir)
-    return A.with_sentence_signals(found.where(F.col("lang") == lang) if lang else found, COMMON)
+    return A.with_sentence_signals(docs(spark, sf_dir, lang), COMMON)
 
 
 @query(SIGNALS + "SELECT h.doc_id, idx, hedge_count FROM h JOIN documents USING (doc_id) WHERE lang = 'en'")
-def hedge_counts(spark, sf_dir):
-    found = signalled(spark, sf_dir, "en").select("doc_id", F.inline("signals"))
+def hedge_counts(spark, sf_dir, lang="en"):
+    found = signalled(spark, sf_dir, lang).select("doc_id", F.inline("signals"))
     return found.select("doc_id", F.col("sentence_index").cast("long").alias("idx"), F.col("hedge_count").cast("long").alias("hedge_count"))
 
 
@@ -376,14 +377,14 @@ _DERIVED_NAMES = {
 }
 
 
-def derived(spark, sf_dir) -> DataFrame:
-    found = A.with_naturalness(signalled(spark, sf_dir, "en").where(F.size("sentences") > 0))
+def derived(spark, sf_dir, lang: str | None) -> DataFrame:
+    found = A.with_naturalness(signalled(spark, sf_dir, lang).where(F.size("sentences") > 0))
     return A.with_derived_signals(A.with_tone(found.withColumn("bare", T.bare_words(F.col("words")))), COMMON)
 
 
 @query(DERIVED + " SELECT doc_id, " + ", ".join(f"round({k}, 6) AS {v}" for k, v in _DERIVED_NAMES.items()) + " FROM dv WHERE lang = 'en'")
-def derived_signals(spark, sf_dir):
-    return derived(spark, sf_dir).select("doc_id", *(r6(c).alias(c) for c in _DERIVED_NAMES.values()))
+def derived_signals(spark, sf_dir, lang="en"):
+    return derived(spark, sf_dir, lang).select("doc_id", *(r6(c).alias(c) for c in _DERIVED_NAMES.values()))
 
 
 TONE6 = """, td AS (SELECT doc_id, lang, 0.75 * (1 - cd) + 0.125 AS formality, 0.4 * (1 - least(10 * hedge, 1)) + 0.3 * (1 - least(10 * modal, 1)) + 0.2 * assertion AS confidence,
@@ -392,8 +393,8 @@ TONE6 = """, td AS (SELECT doc_id, lang, 0.75 * (1 - cd) + 0.125 AS formality, 0
 
 
 @query(DERIVED + TONE6 + " SELECT doc_id, " + ", ".join(f"round({d}, 6) AS {d}" for d in L.TONE_DIMENSIONS) + " FROM td WHERE lang = 'en'")
-def tone_dimensions(spark, sf_dir):
-    return A.with_tone_dimensions(derived(spark, sf_dir)).select("doc_id", *(r6(d).alias(d) for d in L.TONE_DIMENSIONS))
+def tone_dimensions(spark, sf_dir, lang="en"):
+    return A.with_tone_dimensions(derived(spark, sf_dir, lang)).select("doc_id", *(r6(d).alias(d) for d in L.TONE_DIMENSIONS))
 
 
 # --- health ------------------------------------------------------------------------------------
@@ -469,24 +470,24 @@ FLAGS = SIGNALS + REDUNDANT + """, fl AS (
  UNION ALL SELECT doc_id, idx, 7, 'REDUNDANT', 'suggestion' FROM red), fe AS (SELECT fl.* FROM fl JOIN documents USING (doc_id) WHERE lang = 'en')"""
 
 
-def flagged(spark, sf_dir) -> DataFrame:
-    return A.with_flags(A.with_redundancy(signalled(spark, sf_dir, "en")))
+def flagged(spark, sf_dir, lang: str | None) -> DataFrame:
+    return A.with_flags(A.with_redundancy(signalled(spark, sf_dir, lang)))
 
 
 @query(FLAGS + " SELECT doc_id, idx, place, code, severity FROM fe")
-def sentence_flags(spark, sf_dir):
+def sentence_flags(spark, sf_dir, lang="en"):
     order = F.create_map(*(F.lit(x) for i, c in enumerate(("LONG_SENTENCE", "SHORT_SENTENCE", "HIGH_HEDGE_COUNT", "LOW_DENSITY", "VAGUE", "LOW_COHERENCE", "REDUNDANT"), 1) for x in (c, i)))
-    found = flagged(spark, sf_dir).select("doc_id", F.posexplode("flags").alias("idx", "fs")).select("doc_id", F.col("idx").cast("long").alias("idx"), F.inline("fs"))
+    found = flagged(spark, sf_dir, lang).select("doc_id", F.posexplode("flags").alias("idx", "fs")).select("doc_id", F.col("idx").cast("long").alias("idx"), F.inline("fs"))
     return found.select("doc_id", "idx", order[F.col("code")].alias("place"), "code", "severity")
 
 
 @query(FLAGS + ", rk AS (SELECT *, CASE severity WHEN 'error' THEN 0.9 WHEN 'warning' THEN 0.7 ELSE 0.4 END::DOUBLE AS impact FROM fe), tp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY impact DESC, idx, place) AS rank FROM rk) SELECT doc_id, rank, idx, code, impact FROM tp WHERE rank <= 5")
-def top_suggestions(spark, sf_dir):
-    found = A.with_suggestions(flagged(spark, sf_dir)).select("doc_id", F.posexplode("suggestions").alias("rank", "x"))
+def top_suggestions(spark, sf_dir, lang="en"):
+    found = A.with_suggestions(flagged(spark, sf_dir, lang)).select("doc_id", F.posexplode("suggestions").alias("rank", "x"))
     return found.select("doc_id", (F.col("rank") + 1).cast("long").alias("rank"), F.col("x.sentence_index").cast("long").alias("idx"), F.col("x.flag_code").alias("code"), F.col("x.impact").alias("impact"))
 
 
 @query(FLAGS + " SELECT doc_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'suggestion') AS suggestions, array_to_string((list(code ORDER BY idx, place))[1:5], ',') AS top_codes FROM fe GROUP BY doc_id")
-def flags_summary(spark, sf_dir):
-    found = flagged(spark, sf_dir).where(F.size(F.flatten("flags")) > 0).select("doc_id", A.flags_summary().alias("s")).select("doc_id", "s.*")
+def flags_summary(spark, sf_dir, lang="en"):
+    found = flagged(spark, sf_dir, lang).where(F.size(F.flatten("flags")) > 0).select("doc_id", A.flags_summary().alias("s")).select("doc_id", "s.*")
     return found.withColumn("top_codes", F.array_join("top_codes", ","))
