@@ -2,12 +2,14 @@
 
 import os
 import re
+import unicodedata
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillmill.operators import rules as R
+from quillmill.plans import more_queries as MQ
 from quillmill.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -62,3 +64,46 @@ def test_whole_reads_every_document(spark, name):
     if name == "rule_metric":
         assert got == {i for i, d in docs.items() if (d.text or "").strip()}
     assert {docs[i].lang for i in got} == {d.lang for d in docs.values() if (d.text or "").strip()}
+
+
+def brute_sentiment(text):
+    raw = text.split()
+    low = [w.lower().strip(".,;:!?\"'()[]") for w in raw]
+    caps = [w == w.upper() for w in raw]
+    but = low.index("but") if "but" in low else None
+    x = 0.0
+    for i, w in enumerate(low):
+        v = MQ.LEXICON.get(w, 0.0)
+        if not v:
+            continue
+        sign = 1 if v > 0 else -1
+        if any(caps) and not all(caps) and caps[i] and any(unicodedata.category(c) == "Lu" for c in raw[i]):
+            v += sign * 0.733
+        for back, fade in ((1, 1.0), (2, 0.95), (3, 0.9)):
+            if i >= back:
+                v += sign * fade * 0.293 * MQ.BOOSTERS_FOUND.get(low[i - back], 0)
+        if any(n in MQ.NEGATIONS_FOUND for n in low[max(0, i - 3) : i]):
+            v *= -0.74
+        if but is not None and i != but:
+            v *= 0.5 if i < but else 1.5
+        x += v
+    asked = text.count("?")
+    emphasis = min(text.count("!"), 4) * 0.292 + (0.96 if asked > 3 else asked * 0.18 if asked > 1 else 0)
+    x += emphasis * (x > 0) - emphasis * (x < 0)
+    return x / (x * x + 15) ** 0.5
+
+
+def equals_brute_sentiment(spark, folder, texts):
+    got = {r.doc_id: r.compound for r in registry.queries()["sentiment_compound_whole"](spark, folder).collect()}
+    assert got == {i: pytest.approx(brute_sentiment(t), abs=2e-6) for i, t in texts.items() if t.strip()}
+
+
+@tables
+def test_sentiment_on_every_document(spark):
+    equals_brute_sentiment(spark, DATA, {i: d.text or "" for i, d in documents(spark).items()})
+
+
+def test_sentiment_with_every_rule(spark, tmp_path):
+    texts = dict(enumerate(["THE end!", "the END", "very the de", "not so the la", "in the and but of LA!!", "the? la? de!", "??? ???? and", "never really de 12 La!!!!!", " ", "que DE que la, slightly 'the'"]))
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    equals_brute_sentiment(spark, str(tmp_path), texts)
