@@ -26,6 +26,9 @@ LIMITS = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
 LENGTHS = tuple(LIMITS)
 #: The longest allowed share of characters in lines that an earlier line equals.
 LINE_LIMIT = 0.30
+#: Stricter ones: slack at 5 and 6 alone, where chance repeats occur.
+TIGHT_LIMITS = {5: 0.25, 6: 0.24, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+TIGHT_LINE_LIMIT = 0.20
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
@@ -63,8 +66,8 @@ def covered_words(hashes: np.ndarray, doc: np.ndarray, lengths=LENGTHS) -> dict[
     return out
 
 
-def measure(texts: list[str | None]) -> pd.DataFrame:
-    """Counts and covered shares of whole texts."""
+def measure(texts: list[str | None], limits: dict[int, float] = LIMITS, line_limit: float = LINE_LIMIT) -> pd.DataFrame:
+    """Counts and covered shares of whole texts. ``limits`` has the lengths of ``LENGTHS``."""
     table, rows = WordTable(texts), len(texts)
     doc, chars = table.doc, table.ends - table.starts
 
@@ -87,8 +90,8 @@ def measure(texts: list[str | None]) -> pd.DataFrame:
     out_lines = per_text(of[again], line_chars[again]) / least
     inside, none = covered_words(table.hashes, doc), np.zeros(rows, dtype=np.int64)
     out["n_repeat_words"] = per_text(doc[inside[5]]) if 5 in inside else none
-    verdict = out_lines <= LINE_LIMIT
-    for n, limit in LIMITS.items():
+    verdict = out_lines <= line_limit
+    for n, limit in limits.items():
         share = np.bincount(doc, chars * inside[n], rows) / least if n in inside else none
         out[f"covered_{n}"] = share + 0.0
         verdict &= share <= limit
@@ -101,9 +104,16 @@ def measure(texts: list[str | None]) -> pd.DataFrame:
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + "".join(f"covered_{n} double, " for n in LENGTHS) + "covered_lines double, base_failed boolean, kept boolean"
 
 
-@F.pandas_udf(fields(FIELDS))
-def repetition(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def repetition_with(limits: dict[int, float] = LIMITS, line_limit: float = LINE_LIMIT):
     """A function of a text column: struct of the counts, the shares and the verdict."""
-    for texts in batches:
-        texts = list(texts)
-        yield pd.concat([measure(texts[a:b]) for a, b in chunks(texts)] or [measure([])], ignore_index=True)
+
+    @F.pandas_udf(fields(FIELDS))
+    def repetition(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            texts = list(texts)
+            yield pd.concat([measure(texts[a:b], limits, line_limit) for a, b in chunks(texts)] or [measure([])], ignore_index=True)
+
+    return repetition
+
+
+repetition = repetition_with()
