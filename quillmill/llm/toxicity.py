@@ -3,12 +3,12 @@
 The kernel of two strings sums, over all letter triples, the products of their weights in both;
 a triple at places i < j < k (k - i < SPAN) weighs DECAY^(k - i + 1), so that gaps and inserted
 letters lower a match without undoing it. It is divided by a function of each string's length.
-The strings are the units of sentences: the letters of a word, whatever other characters stand
-between them, and the letters of three or more single-letter words in a row. Long units are cut
-into overlapping windows. A sentence scores as its highest unit, a text as its highest sentence.
+The strings are units: the letters of a word, whatever other characters stand between them, and
+the letters of three or more words in a row of one letter, or of one or two, words without letters
+left out. Long units are cut into overlapping windows. Units of fewer than three letters are not
+scored, and no unit crosses longer words. A text scores as its highest unit; it isn't split into sentences.
 
-Training is on sentences of labelled texts. Which sentence and unit makes a text toxic is not
-given, so the witness of each toxic text is chosen anew after each round: first by letter n-grams
+Training is on units of labelled texts. Which unit makes a text toxic is not given, so the witness of each toxic text is chosen anew after each round: first by letter n-grams
 that toxic texts share and others lack, then by the machine's own score. Units of texts that are
 not toxic are negative; those that score too high join the training set. Landmarks are frequent
 witnesses and some negatives; the features are the kernel's values at the landmarks times the
@@ -73,12 +73,19 @@ class Units:
             for at in range(0, len(own), WINDOW // 2):
                 add(own[at : at + WINDOW], doc[w])
         keep = size[of] <= WINDOW
-        single = np.flatnonzero(size == 1)
-        if len(single) > 2:
-            cut = np.flatnonzero((np.diff(single) != 1) | (np.diff(doc[single]) != 0)) + 1
-            for run in np.split(single, cut):
-                for at in range(0, len(run) if len(run) > 2 else 0, WINDOW // 2):
-                    add(letters[first[run[at : at + WINDOW]]], doc[run[0]])
+        lettered = np.cumsum(size > 0)  # words without letters don't end a run
+        for longest in (1, 2):
+            short = np.flatnonzero((size > 0) & (size <= longest))
+            if len(short) < 3:
+                continue
+            cut = np.flatnonzero((np.diff(lettered[short]) != 1) | (np.diff(doc[short]) != 0)) + 1
+            edges = np.concatenate([[0], cut, [len(short)]])
+            for i in np.flatnonzero(np.diff(edges) > 2):
+                run = short[edges[i] : edges[i + 1]]
+                if longest == 1 or (size[run] == 2).any():
+                    own = letters[first[run[0]] : first[run[-1]] + size[run[-1]]]
+                    for at in range(0, len(own), WINDOW // 2):
+                        add(own[at : at + WINDOW], doc[run[0]])
         self.points = np.concatenate([letters[keep], *extra_points]).astype(np.int64)
         self.unit = np.concatenate([of[keep], *extra_of]).astype(np.int64)
         self.doc = np.concatenate([doc, np.array(extra_doc, dtype=np.int64)])

@@ -8,6 +8,7 @@ import pytest
 
 from quillmill.llm import queries as Q
 from quillmill.llm import repetition as RP
+from quillmill.llm import toxicity as TX
 
 DATA = "/root/testdata/sf0.001"
 
@@ -37,3 +38,11 @@ def test_tight_limits_on_whole_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
     got = {r.doc_id: r.kept for r in Q.op3_repetition_tight(spark, DATA).collect()}
     assert got == {i: kept(t) for i, t in docs.items()}
+
+
+@pytest.mark.parametrize("text", ["i - d - i - o - t", "i d 12 i -- o . t", "we i - d - i - o - t see"])
+def test_words_without_letters_do_not_end_a_run(text):
+    assert "idiot" in TX.Units(["x", text, "y"]).strings()
+    assert "stupid" in TX.Units(["you", "the st up - id man"]).strings()
+    assert "abcd" not in TX.Units(["a b", "- c d"]).strings()
+    assert "aid" not in TX.Units(["a - be i - d"]).strings()
