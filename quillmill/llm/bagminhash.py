@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fields, numbered, written
+from .common import chunks, fields, written
 from .wordtable import WordTable, mixed, rolled
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -301,9 +301,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
 
 
 def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one stays for each class (that of the least id). Rows with a null id stay."""
-    copy = "__quillmill_copy"
-    rows = numbered(docs, key, copy).where(F.col(key).isNull() | (F.col(copy) == 1)).drop(copy)
-    # Of rows that share an id the first stands for it.
-    kept = near_duplicates(rows, text, key, **how).where("doc_id = class_id").select(F.col("doc_id").alias("__quillmill_id"))
-    return rows.join(kept, F.col(key) == F.col("__quillmill_id"), "left_semi").unionByName(rows.where(F.col(key).isNull()))
+    """The rows of ``docs``, all columns, of which one stays for each class (that of the least id; null ids come last). Rows that share an id, or have none, are compared like others."""
+    row = "__quillmill_row"
+    if docs.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).isEmpty():
+        kept = near_duplicates(docs, text, key, **how).where("doc_id = class_id").select(F.col("doc_id").alias(row))
+        return docs.join(kept, F.col(key) == F.col(row), "left_semi")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    ids = rows.select(F.col(row).alias("doc_id"), F.col(key).isNull().alias("last"), F.col(key).alias("id"))
+    best = near_duplicates(rows, text, row, **how).join(ids, "doc_id").groupBy("class_id").agg(F.min(F.struct("last", "id", "doc_id")).alias("best"))
+    return rows.join(best.select(F.col("best.doc_id").alias(row)), row, "left_semi").select(*docs.columns)

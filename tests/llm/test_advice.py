@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from quillmill.llm import bagminhash as B
 from quillmill.llm import queries as Q
 from quillmill.llm import repetition as RP
 from quillmill.llm import toxicity as TX
@@ -46,3 +47,13 @@ def test_words_without_letters_do_not_end_a_run(text):
     assert "stupid" in TX.Units(["you", "the st up - id man"]).strings()
     assert "abcd" not in TX.Units(["a b", "- c d"]).strings()
     assert "aid" not in TX.Units(["a - be i - d"]).strings()
+
+
+def test_near_dedup_of_repeated_and_null_ids(spark):
+    first, second, third = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, first), (1, second), (2, first), (None, third), (None, third + " more"), (None, first), (3, second), (None, None), (1, first)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, B.without_near_duplicates(docs).collect()), key=str)
+    kept_third = [r for r in got if r[0] is None and r[1]]
+    assert len(kept_third) == 1 and kept_third[0][1].startswith(third)
+    assert [r for r in got if r not in kept_third] == sorted([(1, first), (1, second), (None, None)], key=str)
