@@ -90,46 +90,52 @@ def type_token_ratio(lowered: Column) -> Column:
     return let(F.filter(lowered, is_alphabetic), lambda ws: ratio(F.size(F.array_distinct(ws)), F.size(ws)))
 
 
-def previous_places(ws: Column) -> Column:
-    """For each word in order the place of its previous occurrence, or -1; by two sorts instead of a search for each word."""
+def neighbour_places(ws: Column) -> Column:
+    """For each word in order ``p``, the place of its previous occurrence, or -1, and ``q``, how far from the end the next one lies, or -1: two sorts serve both directions."""
     found = F.sort_array(F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    linked = let(
-        found,
-        lambda s: F.transform(s, lambda x, k: F.struct(x.i.alias("i"), F.when((k > 0) & (F.get(s, k - 1).w == x.w), F.get(s, k - 1).i).otherwise(-1).alias("p"))),
-    )
-    return F.transform(F.sort_array(linked), lambda x: x.p)
+
+    def linked(s: Column) -> Column:
+        def one(x: Column, k: Column) -> Column:
+            before, after = F.get(s, k - 1), F.get(s, k + 1)
+            return F.struct(
+                x.i.alias("i"),
+                F.when((k > 0) & (before.w == x.w), before.i).otherwise(-1).alias("p"),
+                F.when(after.w == x.w, F.size(s) - 1 - after.i).otherwise(-1).alias("q"),
+            )
+
+        return F.transform(s, one)
+
+    return F.sort_array(let(found, linked))
 
 
-def mtld_pass(ws: Column, threshold: float = 0.72) -> Column:
-    """Words per factor in one direction. A word is a new type of its factor if its previous occurrence lies before the factor's start, so the fold's state is four numbers."""
+def mtld_factors(places: Column, threshold: float = 0.72) -> Column:
+    """Number of factors of one direction, from the places of previous occurrences. A word is a new type of its factor if that place lies before the factor's start, so the fold's state is four numbers."""
     start = F.struct(F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(0).alias("types"), F.lit(0.0).alias("factors"))
 
     def step(a, p):
         types = a.types + F.when(p < a.start, 1).otherwise(0)
         n = a.n + 1
         ended = types / n <= threshold
-        return F.struct(
-            F.when(ended, a.start + n).otherwise(a.start).alias("start"),
-            F.when(ended, 0).otherwise(n).alias("n"),
-            F.when(ended, 0).otherwise(types).alias("types"),
-            F.when(ended, a.factors + 1.0).otherwise(a.factors).alias("factors"),
+        return F.when(ended, F.struct((a.start + n).alias("start"), F.lit(0).alias("n"), F.lit(0).alias("types"), (a.factors + 1.0).alias("factors"))).otherwise(
+            F.struct(a.start.alias("start"), n.alias("n"), types.alias("types"), a.factors.alias("factors"))
         )
 
     def end(a):
-        rest = F.when(a.n > 0, (1.0 - a.types / F.greatest(a.n, F.lit(1))) / (1.0 - threshold)).otherwise(F.lit(0.0))
-        return ratio(F.size(ws), a.factors + rest)
+        return a.factors + F.when(a.n > 0, (1.0 - a.types / F.greatest(a.n, F.lit(1))) / (1.0 - threshold)).otherwise(F.lit(0.0))
 
-    return F.aggregate(previous_places(ws), start, step, end)
+    return F.aggregate(places, start, step, end)
 
 
 def mtld(ws: Column) -> Column:
     """Mean of both directions over bare words; 0 below ten words or without a factor."""
 
-    def of(xs: Column) -> Column:
-        both = F.struct(mtld_pass(xs).alias("forward"), mtld_pass(F.reverse(xs)).alias("back"))
-        return let(both, lambda p: F.when((F.size(xs) >= 10) & (p.forward > 0) & (p.back > 0), (p.forward + p.back) / 2).otherwise(F.lit(0.0)))
+    def of(v: Column) -> Column:
+        forward = mtld_factors(F.transform(v, lambda x: x.p))
+        back = mtld_factors(F.transform(F.reverse(v), lambda x: x.q))
+        per = let(F.struct(forward.alias("f"), back.alias("b")), lambda p: (ratio(F.size(v), p.f) + ratio(F.size(v), p.b)) / 2 * F.when((p.f > 0) & (p.b > 0), 1.0).otherwise(0.0))
+        return F.when(F.size(v) >= 10, per).otherwise(F.lit(0.0))
 
-    return let(ws, of)
+    return let(neighbour_places(ws), of)
 
 
 def vocabulary_score(mtld_: Column, ttr: Column) -> Column:
@@ -242,9 +248,12 @@ def hedges(sentence: Column, bare_: Column, phrases: list[str] = L.HEDGE_PHRASES
     return F.concat(found, F.filter(bare_, lambda w: w.isin(listed)))
 
 
+#: Fixed value: the information density of a sentence that has an alphabetic word, where there are no part-of-speech tags.
+DENSITY = 0.6
+
+
 def information_density(ws: Column) -> Column:
-    """Without part-of-speech tags: 0.6 if the sentence has an alphabetic word."""
-    return F.when(F.exists(ws, is_alphabetic), F.lit(0.6)).otherwise(F.lit(0.0))
+    return F.when(F.exists(ws, is_alphabetic), F.lit(DENSITY)).otherwise(F.lit(0.0))
 
 
 def specificity(sentence: Column, ws: Column, suffixes: list[str] = L.NOMINAL_SUFFIXES) -> Column:

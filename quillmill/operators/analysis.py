@@ -5,6 +5,11 @@ shuffled; ``explode`` where rows of sentences are wanted. A document that cannot
 ``error_code``; its metrics are those of an empty text, and no job fails for it.
 """
 
+import math
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,7 +121,8 @@ def with_sentence_signals(df: DataFrame, lists: dict[str, list[str]] | None = No
     linked = F.filter(F.transform("signals", lambda s: s.coherence_to_next), lambda c: c.isNotNull())
     return df.withColumns(
         {
-            "mean_density": T.mean(F.transform("signals", lambda s: s.information_density)),
+            # A sentence has a fixed density or none: a count is exact whatever the order of sentences.
+            "mean_density": T.ratio(M.DENSITY * F.size(F.filter("signals", lambda s: s.information_density > 0)), F.size("signals")),
             "mean_specificity": T.mean(F.transform("signals", lambda s: s.specificity)),
             "mean_coherence": T.mean(linked),
         }
@@ -231,22 +237,59 @@ def sentence_flags(s: Column, redundant: Column | None = None, tone: dict[str, f
     return F.filter(F.array(*listed), lambda f: f.isNotNull())
 
 
-def redundant_indices(sets: Column, threshold: float = 0.6) -> Column:
-    """Indices of the sets of words that are alike (Jaccard) to an earlier one of the same array; sizes too far apart are not compared, and the first hit ends a search."""
-
-    def alike(a: Column, b: Column) -> Column:
-        close = F.least(F.size(a), F.size(b)) >= threshold * F.greatest(F.size(a), F.size(b))
-        return (F.size(b) > 0) & close & (M.jaccard(a, b) >= threshold)
-
-    every = F.sequence(F.lit(0), F.greatest(F.size(sets) - 1, F.lit(0)))
-    return F.filter(every, lambda i: T.let(F.get(sets, i), lambda own: F.exists(F.slice(sets, 1, i), lambda earlier: alike(earlier, own))))
+def _repeats(sets: list[frozenset], threshold: float) -> list[int]:
+    """Indices of the sets that are alike (Jaccard) to an earlier one.
+
+    Two sets of similarity t share a word among the rarest n - ceil(t n) + 1 of each, so only sets
+    that an index of those words yields are compared, and those within t of the other's size."""
+    known = Counter(w for s in sets for w in s)
+    seen: set[frozenset] = set()
+    holders: defaultdict[str, list[int]] = defaultdict(list)
+    out = []
+    for i, own in enumerate(sets):
+        n = len(own)
+        if not n:
+            continue
+        if own in seen:
+            out.append(i)
+            continue
+        rare = sorted(own, key=lambda w: (known[w], w))[: n - math.ceil(threshold * n - 1e-9) + 1]
+        tried: set[int] = set()
+        for w in rare:
+            found = False
+            for j in holders[w]:
+                if j not in tried:
+                    tried.add(j)
+                    other = sets[j]
+                    if min(n, len(other)) >= threshold * max(n, len(other)):
+                        both = len(own & other)
+                        if both / (n + len(other) - both) >= threshold:
+                            found = True
+                            break
+            if found:
+                out.append(i)
+                break
+        # A set that equals an earlier one brings no candidate that the earlier one does not.
+        seen.add(own)
+        for w in rare:
+            holders[w].append(i)
+    return out
+
+
+def redundant_indices(sentences: Column, threshold: float = 0.6) -> Column:
+    """Indices of the sentences whose words are alike to those of an earlier one: an Arrow batch of documents at a time, since Catalyst has no index to look candidates up in."""
+
+    @F.pandas_udf("array<int>")
+    def repeats(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for docs in batches:
+            yield pd.Series([_repeats([frozenset(s.split()) for s in d], threshold) for d in docs], dtype=object)
+
+    return repeats(F.transform(sentences, F.lower))
 
 
 def with_redundancy(df: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Adds ``redundant``: indices of sentences that repeat an earlier one."""
-    sets = F.transform("sentences", lambda s: F.array_distinct(F.transform(T.words(s), F.lower)))
-    found = T.let(sets, lambda x: redundant_indices(x, threshold))
-    return df.withColumn("redundant", F.when(F.size("sentences") > 0, found).otherwise(F.expr("cast(array() as array<int>)")))
+    return df.withColumn("redundant", redundant_indices(F.col("sentences"), threshold))
 
 
 def with_flags(df: DataFrame, tone: dict[str, float] | None = None, prohibited: list[str] | None = None) -> DataFrame:

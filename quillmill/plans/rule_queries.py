@@ -1,8 +1,5 @@
 """Queries for rules, personas, comparison, search and model output, beside their DuckDB SQL."""
 
-import re
-from functools import partial
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,85 +15,71 @@ from ..sources.tables import read_table, spread
 from . import text_queries as Q
 from .text_queries import BASE, QUERIES, SQL, query, r6
 
-EN = "FROM documents WHERE lang = 'en'"
-
+def texts(spark, sf_dir) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "text"]))
 
-def texts(spark, sf_dir, lang: str | None) -> DataFrame:
-    """Documents of a language, or all."""
-    found = spread(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "text"]))
-    return found.where(F.col("lang") == lang) if lang else found
 
-
-def counted(spark, sf_dir, rule: dict, lang: str | None) -> DataFrame:
-    found = texts(spark, sf_dir, lang).select("doc_id", R.compile_rule(rule, F.col("text")).alias("m"))
+def counted(spark, sf_dir, rule: dict) -> DataFrame:
+    found = texts(spark, sf_dir).select("doc_id", R.compile_rule(rule, F.col("text")).alias("m"))
     return found.select("doc_id", F.size("m").cast("long").alias("n_matches"))
 
 
 def hits(token: str, of: str = "text") -> str:
-    return f"len(regexp_extract_all({of}, '(?i)\\b{token}\\b'))"
+    return Q.n_found(rf"\b{token}\b", of)
 
 
-@query(f"SELECT doc_id, {hits('the')} + {hits('of the')} + len(regexp_extract_all(text, '(?i)an[a-z]+ion')) AS n_matches {EN}", base=False)
-def rule_existence(spark, sf_dir, lang="en"):
-    return counted(spark, sf_dir, {"type": "existence", "tokens": ["the", "of the"], "raw": ["an[a-z]+ion", "("]}, lang)
+@query(f"SELECT doc_id, {hits('the')} + {hits('of the')} + len(regexp_extract_all(text, '(?i)an[a-z]+ion')) AS n_matches FROM documents", base=False)
+def rule_existence(spark, sf_dir):
+    return counted(spark, sf_dir, {"type": "existence", "tokens": ["the", "of the"], "raw": ["an[a-z]+ion", "("]})
 
 
-@query(f"SELECT doc_id, {hits('and')} + {hits('that')} AS n_matches {EN}", base=False)
-def rule_substitution(spark, sf_dir, lang="en"):
-    return counted(spark, sf_dir, {"type": "substitution", "swap": {"and": "&", "that": "which"}}, lang)
+@query(f"SELECT doc_id, {hits('and')} + {hits('that')} AS n_matches FROM documents", base=False)
+def rule_substitution(spark, sf_dir):
+    return counted(spark, sf_dir, {"type": "substitution", "swap": {"and": "&", "that": "which"}})
 
 
-@query(f"SELECT doc_id, (CASE WHEN {hits('the')} > 5 THEN 1 ELSE 0 END + CASE WHEN {hits('is')} > 5 THEN 1 ELSE 0 END)::BIGINT AS n_matches {EN}", base=False)
-def rule_occurrence(spark, sf_dir, lang="en"):
-    return counted(spark, sf_dir, {"type": "occurrence", "tokens": ["the", "is"], "max": 5}, lang)
+@query(f"SELECT doc_id, (CASE WHEN {hits('the')} > 5 THEN 1 ELSE 0 END + CASE WHEN {hits('is')} > 5 THEN 1 ELSE 0 END)::BIGINT AS n_matches FROM documents", base=False)
+def rule_occurrence(spark, sf_dir):
+    return counted(spark, sf_dir, {"type": "occurrence", "tokens": ["the", "is"], "max": 5})
 
 
-@query(f"SELECT doc_id, greatest(0, {hits('the')} - 1) + greatest(0, {hits('of')} - 1) AS n_matches {EN} AND length(text) < 3000", base=False)
+@query(f"SELECT doc_id, greatest(0, {hits('the')} - 1) + greatest(0, {hits('of')} - 1) AS n_matches FROM documents", base=False)
 def rule_repetition(spark, sf_dir):
-    rule = {"type": "repetition", "tokens": ["the", "of"]}
-    found = texts(spark, sf_dir, "en").where("length(text) < 3000").select("doc_id", R.compile_rule(rule, F.col("text")).alias("m"))
-    return found.select("doc_id", F.size("m").cast("long").alias("n_matches"))
+    return counted(spark, sf_dir, {"type": "repetition", "tokens": ["the", "of"]})
 
 
-@query()
-def rule_repetition_whole(spark, sf_dir):
-    """Every document, of any length and language; what `rule_repetition` compares with SQL is a part of it."""
-    found = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
-    return found.select("doc_id", F.size(R.compile_rule({"type": "repetition", "tokens": ["the", "of"]}, F.col("text"))).cast("long").alias("n_matches"))
-
+@query(f"SELECT doc_id, CASE WHEN a = 0 OR b = 0 THEN 0 ELSE least(a, b) END AS n_matches FROM (SELECT doc_id, {hits('with')} AS a, {hits('from')} AS b FROM documents)", base=False)
+def rule_consistency(spark, sf_dir):
+    return counted(spark, sf_dir, {"type": "consistency", "either": {"with": "from"}})
 
-@query(f"SELECT doc_id, CASE WHEN a = 0 OR b = 0 THEN 0 ELSE least(a, b) END AS n_matches FROM (SELECT doc_id, {hits('with')} AS a, {hits('from')} AS b {EN})", base=False)
-def rule_consistency(spark, sf_dir, lang="en"):
-    return counted(spark, sf_dir, {"type": "consistency", "either": {"with": "from"}}, lang)
 
+@query(f"SELECT doc_id, CASE WHEN regexp_matches({Q.marked("text")}, '{Q.bounded(r"\bnot\b|stre")}') THEN 0 ELSE {hits('the')} END AS n_matches FROM documents", base=False)
+def rule_conditional(spark, sf_dir):
+    return counted(spark, sf_dir, {"type": "conditional", "tokens": ["the"], "match": r"\bnot\b|stre"})
 
-@query(f"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\bnot\\b|stre') THEN 0 ELSE {hits('the')} END AS n_matches {EN}", base=False)
-def rule_conditional(spark, sf_dir, lang="en"):
-    return counted(spark, sf_dir, {"type": "conditional", "tokens": ["the"], "match": r"\bnot\b|stre"}, lang)
 
-
-@query(", e AS (SELECT doc_id, ss FROM t WHERE lang = 'en') SELECT doc_id, len(list_filter(ss, lambda x: NOT regexp_matches(x, '^\\p{Lu}'))) AS n_sentence, (CASE WHEN text <> '' AND text <> upper(text) THEN 1 ELSE 0 END)::BIGINT AS n_upper FROM e JOIN (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM d) USING (doc_id)")
-def rule_capitalization(spark, sf_dir, lang="en"):
+@query(", e AS (SELECT doc_id, ss FROM t) SELECT doc_id, len(list_filter(ss, lambda x: NOT regexp_matches(x, '^\\p{Lu}'))) AS n_sentence, (CASE WHEN text <> '' AND text <> upper(text) THEN 1 ELSE 0 END)::BIGINT AS n_upper FROM e JOIN (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM d) USING (doc_id)")
+def rule_capitalization(spark, sf_dir):
     rule = lambda match, scope: F.size(R.compile_rule({"type": "capitalization", "match": match, "scope": scope}, F.col("text"))).cast("long")
-    return texts(spark, sf_dir, lang).select("doc_id", rule("$sentence", "sentence").alias("n_sentence"), rule("$upper", "text").alias("n_upper"))
+    return texts(spark, sf_dir).select("doc_id", rule("$sentence", "sentence").alias("n_sentence"), rule("$upper", "text").alias("n_upper"))
 
 
-@query(Q.COUNTS + " SELECT doc_id, (CASE WHEN ari > 12 OR ari < 4 THEN 1 ELSE 0 END)::BIGINT AS n_ari, (CASE WHEN fre < 30 THEN 1 ELSE 0 END)::BIGINT AS n_fre FROM gr JOIN documents USING (doc_id) WHERE lang = 'en'")
-def rule_metric(spark, sf_dir, lang="en"):
+@query(Q.COUNTS + " SELECT doc_id, (CASE WHEN ari > 12 OR ari < 4 THEN 1 ELSE 0 END)::BIGINT AS n_ari, (CASE WHEN fre < 30 THEN 1 ELSE 0 END)::BIGINT AS n_fre FROM gr")
+def rule_metric(spark, sf_dir):
     rule = lambda **how: F.size(R.compile_rule({"type": "metric"} | how, F.col("text"))).cast("long")
-    return texts(spark, sf_dir, lang).where(F.size(T.words(F.col("text"))) > 0).select("doc_id", rule(metric="ari", min=4, max=12).alias("n_ari"), rule(metric="fre", min=30).alias("n_fre"))
+    return texts(spark, sf_dir).where(F.size(T.words(F.col("text"))) > 0).select("doc_id", rule(metric="ari", min=4, max=12).alias("n_ari"), rule(metric="fre", min=30).alias("n_fre"))
 
 
-@query(f", e AS (SELECT doc_id, unnest(ss) AS s FROM t WHERE lang = 'en') SELECT doc_id, sum({hits('the', 's')})::BIGINT AS n_matches FROM e GROUP BY doc_id")
-def rule_scope_sentence(spark, sf_dir, lang="en"):
-    found = texts(spark, sf_dir, lang).where(F.size(T.sentences(F.col("text"))) > 0)
+@query(f", e AS (SELECT doc_id, unnest(ss) AS s FROM t) SELECT doc_id, sum({hits('the', 's')})::BIGINT AS n_matches FROM e GROUP BY doc_id")
+def rule_scope_sentence(spark, sf_dir):
+    found = texts(spark, sf_dir).where(F.size(T.sentences(F.col("text"))) > 0)
     return found.select("doc_id", F.size(R.compile_rule({"type": "existence", "tokens": ["the"], "scope": "sentence"}, F.col("text"))).cast("long").alias("n_matches"))
 
 
-@query("SELECT doc_id, instr(lower(text), 'tion') AS first_place, length(left(text, instr(lower(text), 'tion') - 1)) - length(replace(left(text, instr(lower(text), 'tion') - 1), chr(10), '')) + 1 AS line FROM documents WHERE lang = 'en' AND contains(lower(text), 'tion')", base=False)
-def rule_positions(spark, sf_dir, lang="en"):
+@query("SELECT doc_id, instr(lower(text), 'tion') AS first_place, length(left(text, instr(lower(text), 'tion') - 1)) - length(replace(left(text, instr(lower(text), 'tion') - 1), chr(10), '')) + 1 AS line FROM documents WHERE contains(lower(text), 'tion')", base=False)
+def rule_positions(spark, sf_dir):
     """Place of the first hit: line as a rule reports it, and the offset that line and column stand for."""
-    found = texts(spark, sf_dir, lang).select("doc_id", "text", F.get(R.compile_rule({"type": "existence", "raw": ["tion"]}, F.col("text")), F.lit(0)).alias("m")).where("m is not null")
+    found = texts(spark, sf_dir).select("doc_id", "text", F.get(R.compile_rule({"type": "existence", "raw": ["tion"]}, F.col("text")), F.lit(0)).alias("m")).where("m is not null")
     before = F.aggregate(F.slice(F.split("text", "\n"), F.lit(1), F.col("m.line") - 1), F.lit(0), lambda a, x: a + F.length(x) + 1)
     return found.select("doc_id", (before + F.col("m.col")).cast("long").alias("first_place"), F.col("m.line").cast("long").alias("line"))
 
@@ -108,20 +91,20 @@ RULES = [
 ]
 
 
-@query(f"SELECT doc_id, {hits('wher')} + {hits('stre')} + {hits('from')} AS rule_violations, CASE WHEN {hits('wher')} + {hits('stre')} = 0 THEN 1 ELSE 0 END + CASE WHEN {hits('that')} = 0 THEN 1 ELSE 0 END + CASE WHEN {hits('from')} = 0 THEN 1 ELSE 0 END AS rule_passes {EN}", base=False)
-def rule_violations(spark, sf_dir, lang="en"):
-    found = texts(spark, sf_dir, lang).select("doc_id", R.rule_matches(RULES, F.col("text")).alias("m"))
+@query(f"SELECT doc_id, {hits('wher')} + {hits('stre')} + {hits('from')} AS rule_violations, CASE WHEN {hits('wher')} + {hits('stre')} = 0 THEN 1 ELSE 0 END + CASE WHEN {hits('that')} = 0 THEN 1 ELSE 0 END + CASE WHEN {hits('from')} = 0 THEN 1 ELSE 0 END AS rule_passes FROM documents", base=False)
+def rule_violations(spark, sf_dir):
+    found = texts(spark, sf_dir).select("doc_id", R.rule_matches(RULES, F.col("text")).alias("m"))
     return found.select("doc_id", T.let(F.col("m"), lambda m: R.violations_and_passes(m, RULES)).alias("v")).select("doc_id", "v.*")
 
 
 @query(
-    f""", e AS (SELECT s.doc_id, idx, sentence, text FROM s JOIN d USING (doc_id) WHERE lang = 'en'),
+    f""", e AS (SELECT s.doc_id, idx, sentence, text FROM s JOIN d USING (doc_id)),
  n AS (SELECT doc_id, idx, sentence, {hits('wher', 'text')} AS a, {hits('from', 'text')} AS b FROM e)
  SELECT doc_id, idx, a * contains(lower(sentence), 'wher')::INT + b * contains(lower(sentence), 'from')::INT AS n_flags FROM n WHERE a * contains(lower(sentence), 'wher')::INT + b * contains(lower(sentence), 'from')::INT > 0"""
 )
-def rule_sentence_flags(spark, sf_dir, lang="en"):
+def rule_sentence_flags(spark, sf_dir):
     rules = [{"id": "w", "type": "existence", "tokens": ["wher"]}, {"id": "f", "type": "existence", "tokens": ["from"]}]
-    found = texts(spark, sf_dir, lang).select("doc_id", R.rule_flags(R.rule_matches(rules, F.col("text")), T.sentences(F.col("text"))).alias("flags"))
+    found = texts(spark, sf_dir).select("doc_id", R.rule_flags(R.rule_matches(rules, F.col("text")), T.sentences(F.col("text"))).alias("flags"))
     rows = found.select("doc_id", F.posexplode("flags").alias("idx", "f")).where(F.size("f") > 0)
     return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), F.size("f").cast("long").alias("n_flags"))
 
@@ -129,9 +112,9 @@ def rule_sentence_flags(spark, sf_dir, lang="en"):
 TARGETS = {"formality": 0.8, "confidence": 0.8, "warmth": 0.3, "directness": 0.7, "energy": 0.3, "verbosity": 0.5}
 
 
-@query(Q.DERIVED + Q.TONE6 + " SELECT doc_id, round(greatest(0, 1 - (" + " + ".join(f"abs({d} - {v})" for d, v in TARGETS.items()) + ") / 6), 3) AS overall_compliance, " + ", ".join(f"round({d} - {v}, 6) AS {d}_delta" for d, v in TARGETS.items()) + " FROM td WHERE lang = 'en'")
-def persona_alignment(spark, sf_dir, lang="en"):
-    found = A.with_tone_dimensions(Q.derived(spark, sf_dir, lang)).select("doc_id", R.alignment(TARGETS).alias("a"))
+@query(Q.DERIVED + Q.TONE6 + " SELECT doc_id, round(greatest(0, 1 - (" + " + ".join(f"abs({d} - {v})" for d, v in TARGETS.items()) + ") / 6), 3) AS overall_compliance, " + ", ".join(f"round({d} - {v}, 6) AS {d}_delta" for d, v in TARGETS.items()) + " FROM td")
+def persona_alignment(spark, sf_dir):
+    found = A.with_tone_dimensions(Q.derived(spark, sf_dir)).select("doc_id", R.alignment(TARGETS).alias("a"))
     return found.select("doc_id", "a.overall_compliance", *(r6(f"a.{d}").alias(f"{d}_delta") for d in TARGETS))
 
 
@@ -275,31 +258,3 @@ def label_validation(spark, sf_dir):
     found = read_table(spark, sf_dir, "events", ["event_id", "event_type", "value"])
     v = D.validated_label(F.upper("event_type"), F.col("value"), ["click", "view"], "view", 50.0)
     return found.select("event_id", v.alias("v")).select("event_id", "v.*")
-
-
-# --- whole tables ------------------------------------------------------------------------------
-
-#: Queries whose SQL reads English documents; NAME_whole reads all.
-WHOLE = [
-    rule_existence, rule_substitution, rule_occurrence, rule_consistency, rule_conditional, rule_capitalization, rule_metric, rule_scope_sentence, rule_positions, rule_violations, rule_sentence_flags,
-    persona_alignment, Q.latin_abbreviations, Q.hedge_counts, Q.derived_signals, Q.tone_dimensions, Q.sentence_flags, Q.top_suggestions, Q.flags_summary,
-]
-_BOUNDED = re.compile(r"(?:regexp_extract_all|regexp_matches)\((array_to_string\(ws, ' '\)|\w+), '\(\?i\)(?=\\b)[^']*'")
-
-
-def whole_sql(sql: str) -> str:
-    """The same without a condition on the language. DuckDB's \\b knows ASCII words only, so each character outside Unicode words is put between two marks, and a boundary is a mark or an end."""
-    sql = sql.replace("WHERE lang = 'en' AND ", "WHERE ").replace(" WHERE lang = 'en'", "")
-
-    def bounded(m: re.Match) -> str:
-        head, pattern = m.group().split(", '(?i)")
-        of, pattern = m.group(1), pattern[:-1].replace(r"\s+", " ").replace(" ", r"\x01 \x01").replace(r"\.", r"\x01\.")
-        pattern = re.sub(r"\\b(?=\w)", "(?:^|\\\\x01)", pattern).replace(r"\b", r"(?:\x01|$)")
-        return head.removesuffix(of) + rf"regexp_replace({of}, '([^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}])', chr(1) || '\1' || chr(1), 'g'), '(?i){pattern}'"
-
-    return _BOUNDED.sub(bounded, sql)
-
-
-for _f in WHOLE:
-    QUERIES[f"{_f.__name__}_whole"] = partial(_f, lang=None)
-    SQL[f"{_f.__name__}_whole"] = whole_sql(SQL[_f.__name__])

@@ -5,6 +5,7 @@ that never occur in the shipped tables are replaced by lists of words that do, s
 means something; ``tests`` cover the default lists on texts that hold them.
 """
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,13 +68,36 @@ def query(sql: str | None = None, base: bool = True):
 
 
 def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """Six places, as SQL engines round: the product with 10^6 to the nearest integer, halves away from 0. Rounding the decimal text instead would part from them on ties."""
+    return F.round((F.col(c) if isinstance(c, str) else c) * 1e6) / 1e6
 
 
-def docs(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
-    """Documents of a language, or all."""
-    found = A.with_tokens(spread(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text"])))
-    return found.where(F.col("lang") == lang) if lang else found
+def mean_of_tenths(c: str) -> Column:
+    """The mean of a non-negative column of one decimal place, to four places, half up. Tenths are summed as integers, so the order of rows and ties do not matter."""
+    total, n = F.sum(F.round(F.col(c) * 10).cast("long")), F.count(c)
+    return F.floor((2000 * total + n) / (2 * n)) / 10000.0
+
+
+_MEAN_OF_TENTHS = "floor((2000 * sum(round({c} * 10)::BIGINT) + count({c})) / (2 * count({c}))) / 10000.0"
+
+
+#: Unicode words: DuckDB's \b knows ASCII ones only, so each character outside words is put between two marks, and a boundary is a mark or an end.
+def marked(of: str) -> str:
+    return rf"regexp_replace({of}, '([^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}])', chr(1) || '\1' || chr(1), 'g')"
+
+
+def bounded(pattern: str) -> str:
+    """A pattern with \b and spaces, for texts that ``marked`` has changed."""
+    pattern = pattern.replace(r"\s+", " ").replace(" ", r"\x01 \x01").replace(r"\.", r"\x01\.")
+    return "(?i)" + re.sub(r"\\b(?=\w)", r"(?:^|\\x01)", pattern).replace(r"\b", r"(?:\x01|$)")
+
+
+def n_found(pattern: str, of: str) -> str:
+    return f"len(regexp_extract_all({marked(of)}, '{bounded(pattern)}'))"
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.with_tokens(spread(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text"])))
 
 
 def one(spark, sf_dir, name: str, c: Column) -> DataFrame:
@@ -303,9 +327,9 @@ def contraction_density(spark, sf_dir):
     return docs(spark, sf_dir).where("token_count > 0").select("doc_id", of(CONTRACTIONS_FOUND).alias("density"), of(L.CONTRACTIONS).alias("by_default"))
 
 
-@query("SELECT doc_id, " + " + ".join(f"len(regexp_extract_all(array_to_string(ws, ' '), '(?i){p}'))" for p in LATIN_FOUND) + " AS n_found FROM t WHERE lang = 'en'")
-def latin_abbreviations(spark, sf_dir, lang="en"):
-    found = docs(spark, sf_dir, lang).select("doc_id", M.latin_abbreviations(F.array_join("words", " "), LATIN_FOUND).alias("x"))
+@query("SELECT doc_id, " + " + ".join(n_found(p, "array_to_string(ws, ' ')") for p in LATIN_FOUND) + " AS n_found FROM t")
+def latin_abbreviations(spark, sf_dir):
+    found = docs(spark, sf_dir).select("doc_id", M.latin_abbreviations(F.array_join("words", " "), LATIN_FOUND).alias("x"))
     return found.select("doc_id", F.size("x").cast("long").alias("n_found"))
 
 
@@ -326,7 +350,7 @@ def tone_score(spark, sf_dir):
 
 # --- sentence signals --------------------------------------------------------------------------
 
-_HEDGES = "(" + " + ".join(f"len(regexp_extract_all(sentence, '(?i)\\b{p}\\b'))" for p in COMMON["hedge_phrases"]) + ") + len(list_filter(list_transform(" + WORDS_OF.format(x="sentence") + ", lambda x: " + BARE.format(x="x") + f"), lambda x: x IN ({listed(COMMON['hedge_words'])})))"
+_HEDGES = "(" + " + ".join(n_found(rf"\b{p}\b", "sentence") for p in COMMON["hedge_phrases"]) + ") + len(list_filter(list_transform(" + WORDS_OF.format(x="sentence") + ", lambda x: " + BARE.format(x="x") + f"), lambda x: x IN ({listed(COMMON['hedge_words'])})))"
 SIGNALS = (
     r""", q AS (SELECT doc_id, idx, sentence, """ + WORDS_OF.format(x="sentence") + " AS sw, " + _HEDGES + " AS hedge_count, " + FIRST.format(x="sentence") + r""" AS opens FROM s),
 v AS (SELECT *, list_filter(list_transform(sw, lambda x: lower(x)), lambda x: regexp_matches(x, '^\p{L}{4,}$')) AS nouns, list_distinct(list_filter(list_transform(sw, lambda x: lower(x)), lambda x: regexp_matches(x, '^\p{L}{3,}$'))) AS content FROM q),
@@ -339,13 +363,13 @@ h AS (SELECT *, CASE WHEN next_opens IS NOT NULL THEN 0.25 * coalesce(len(list_i
 )
 
 
-def signalled(spark, sf_dir, lang: str | None = None) -> DataFrame:
-    return A.with_sentence_signals(docs(spark, sf_dir, lang), COMMON)
+def signalled(spark, sf_dir) -> DataFrame:
+    return A.with_sentence_signals(docs(spark, sf_dir), COMMON)
 
 
-@query(SIGNALS + "SELECT h.doc_id, idx, hedge_count FROM h JOIN documents USING (doc_id) WHERE lang = 'en'")
-def hedge_counts(spark, sf_dir, lang="en"):
-    found = signalled(spark, sf_dir, lang).select("doc_id", F.inline("signals"))
+@query(SIGNALS + "SELECT doc_id, idx, hedge_count FROM h")
+def hedge_counts(spark, sf_dir):
+    found = signalled(spark, sf_dir).select("doc_id", F.inline("signals"))
     return found.select("doc_id", F.col("sentence_index").cast("long").alias("idx"), F.col("hedge_count").cast("long").alias("hedge_count"))
 
 
@@ -355,7 +379,7 @@ def sentence_signals(spark, sf_dir):
     return found.select("doc_id", F.col("sentence_index").cast("long").alias("idx"), r6("information_density").alias("information_density"), r6("specificity").alias("specificity"), r6("coherence_to_next").alias("coherence_to_next"))
 
 
-@query(SIGNALS + "SELECT doc_id, round(avg(density), 6) AS mean_density, round(avg(specificity), 6) AS mean_specificity, round(coalesce(avg(coherence), 0), 6) AS mean_coherence FROM h GROUP BY doc_id")
+@query(SIGNALS + "SELECT doc_id, round(0.6 * count(*) FILTER (WHERE density > 0) / count(*), 6) AS mean_density, round(avg(specificity), 6) AS mean_specificity, round(coalesce(avg(coherence), 0), 6) AS mean_coherence FROM h GROUP BY doc_id")
 def signal_means(spark, sf_dir):
     return signalled(spark, sf_dir).where(F.size("sentences") > 0).select("doc_id", *(r6(c).alias(c) for c in ("mean_density", "mean_specificity", "mean_coherence")))
 
@@ -365,7 +389,7 @@ def _share(key: str) -> str:
 
 
 DERIVED = SIGNALS + (
-    ", ds AS (SELECT doc_id, sum(hedge_count) AS hedges, avg(density) AS info, count(*) FILTER (WHERE hedge_count = 0) / count(*) AS assertion, count(*) FILTER (WHERE regexp_matches(sentence, '[!?]$')) / count(*) AS excl, "
+    ", ds AS (SELECT doc_id, sum(hedge_count) AS hedges, 0.6::DOUBLE * count(*) FILTER (WHERE density > 0) / count(*) AS info, count(*) FILTER (WHERE hedge_count = 0) / count(*) AS assertion, count(*) FILTER (WHERE regexp_matches(sentence, '[!?]$')) / count(*) AS excl, "
     "count(*) FILTER (WHERE sentence LIKE '%?') / count(*) AS quest, count(*) FILTER (WHERE " + BARE.format(x="sw[1]") + f" IN ({listed(COMMON['imperatives'])})) / count(*) AS imper FROM h GROUP BY doc_id), "
     "bt AS (SELECT doc_id, lang, ws, ss, list_transform(ws, lambda x: " + BARE.format(x="x") + f") AS bs, coalesce(list_stddev_pop({LENS}) / nullif(list_avg({LENS}), 0), 0) AS burst FROM t WHERE len(ss) > 0), "
     "dv AS (SELECT bt.doc_id, lang, hedges / greatest(len(ws), 1) AS hedge, info, " + _share("modals") + " AS modal, assertion, excl, " + _share("inclusive_pronouns") + " AS incl, imper, quest, burst, least(burst, 1) AS lenvar, "
@@ -377,14 +401,14 @@ _DERIVED_NAMES = {
 }
 
 
-def derived(spark, sf_dir, lang: str | None) -> DataFrame:
-    found = A.with_naturalness(signalled(spark, sf_dir, lang).where(F.size("sentences") > 0))
+def derived(spark, sf_dir) -> DataFrame:
+    found = A.with_naturalness(signalled(spark, sf_dir).where(F.size("sentences") > 0))
     return A.with_derived_signals(A.with_tone(found.withColumn("bare", T.bare_words(F.col("words")))), COMMON)
 
 
-@query(DERIVED + " SELECT doc_id, " + ", ".join(f"round({k}, 6) AS {v}" for k, v in _DERIVED_NAMES.items()) + " FROM dv WHERE lang = 'en'")
-def derived_signals(spark, sf_dir, lang="en"):
-    return derived(spark, sf_dir, lang).select("doc_id", *(r6(c).alias(c) for c in _DERIVED_NAMES.values()))
+@query(DERIVED + " SELECT doc_id, " + ", ".join(f"round({k}, 6) AS {v}" for k, v in _DERIVED_NAMES.items()) + " FROM dv")
+def derived_signals(spark, sf_dir):
+    return derived(spark, sf_dir).select("doc_id", *(r6(c).alias(c) for c in _DERIVED_NAMES.values()))
 
 
 TONE6 = """, td AS (SELECT doc_id, lang, 0.75 * (1 - cd) + 0.125 AS formality, 0.4 * (1 - least(10 * hedge, 1)) + 0.3 * (1 - least(10 * modal, 1)) + 0.2 * assertion AS confidence,
@@ -392,9 +416,9 @@ TONE6 = """, td AS (SELECT doc_id, lang, 0.75 * (1 - cd) + 0.125 AS formality, 0
  0.35 * least(burst, 1) + 0.25 * least(excl, 1) + 0.25 + 0.15 * least(lenvar, 1) AS energy, 0.35 * least(asl / 30, 1) + 0.25 * least(20 * filler, 1) + 0.25 * (1 - info) AS verbosity FROM dv)"""
 
 
-@query(DERIVED + TONE6 + " SELECT doc_id, " + ", ".join(f"round({d}, 6) AS {d}" for d in L.TONE_DIMENSIONS) + " FROM td WHERE lang = 'en'")
-def tone_dimensions(spark, sf_dir, lang="en"):
-    return A.with_tone_dimensions(derived(spark, sf_dir, lang)).select("doc_id", *(r6(d).alias(d) for d in L.TONE_DIMENSIONS))
+@query(DERIVED + TONE6 + " SELECT doc_id, " + ", ".join(f"round({d}, 6) AS {d}" for d in L.TONE_DIMENSIONS) + " FROM td")
+def tone_dimensions(spark, sf_dir):
+    return A.with_tone_dimensions(derived(spark, sf_dir)).select("doc_id", *(r6(d).alias(d) for d in L.TONE_DIMENSIONS))
 
 
 # --- health ------------------------------------------------------------------------------------
@@ -424,15 +448,15 @@ def composite_health(spark, sf_dir):
     return health(spark, sf_dir).select("doc_id", "composite", "grade")
 
 
-@query(HEALTH + " SELECT lang, grade, count(*) AS n, round(avg(composite), 4) AS mean_composite FROM graded GROUP BY ALL")
+@query(HEALTH + " SELECT lang, grade, count(*) AS n, " + _MEAN_OF_TENTHS.format(c="composite") + " AS mean_composite FROM graded GROUP BY lang, grade")
 def grade_distribution(spark, sf_dir):
-    return health(spark, sf_dir).groupBy("lang", "grade").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("composite"), 4).alias("mean_composite"))
+    return health(spark, sf_dir).groupBy("lang", "grade").agg(F.count(F.lit(1)).alias("n"), mean_of_tenths("composite").alias("mean_composite"))
 
 
-@query(HEALTH + " SELECT lang, source, count(*) AS n, round(avg(composite), 4) AS mean_composite FROM graded GROUP BY CUBE (lang, source)")
+@query(HEALTH + " SELECT lang, source, count(*) AS n, " + _MEAN_OF_TENTHS.format(c="composite") + " AS mean_composite FROM graded GROUP BY CUBE (lang, source)")
 def health_cube(spark, sf_dir):
     """Extension: corpus rollups by language and source."""
-    return health(spark, sf_dir).cube("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("composite"), 4).alias("mean_composite"))
+    return health(spark, sf_dir).cube("lang", "source").agg(F.count(F.lit(1)).alias("n"), mean_of_tenths("composite").alias("mean_composite"))
 
 
 def _focus_sql(primary: str) -> str:
@@ -467,27 +491,27 @@ FLAGS = SIGNALS + REDUNDANT + """, fl AS (
  UNION ALL SELECT doc_id, idx, 4, 'LOW_DENSITY', 'warning' FROM h WHERE density < 0.35
  UNION ALL SELECT doc_id, idx, 5, 'VAGUE', 'suggestion' FROM h WHERE specificity < 0.25
  UNION ALL SELECT doc_id, idx, 6, 'LOW_COHERENCE', 'suggestion' FROM h WHERE coherence < 0.10
- UNION ALL SELECT doc_id, idx, 7, 'REDUNDANT', 'suggestion' FROM red), fe AS (SELECT fl.* FROM fl JOIN documents USING (doc_id) WHERE lang = 'en')"""
+ UNION ALL SELECT doc_id, idx, 7, 'REDUNDANT', 'suggestion' FROM red)"""
 
 
-def flagged(spark, sf_dir, lang: str | None) -> DataFrame:
-    return A.with_flags(A.with_redundancy(signalled(spark, sf_dir, lang)))
+def flagged(spark, sf_dir) -> DataFrame:
+    return A.with_flags(A.with_redundancy(signalled(spark, sf_dir)))
 
 
-@query(FLAGS + " SELECT doc_id, idx, place, code, severity FROM fe")
-def sentence_flags(spark, sf_dir, lang="en"):
+@query(FLAGS + " SELECT doc_id, idx, place, code, severity FROM fl")
+def sentence_flags(spark, sf_dir):
     order = F.create_map(*(F.lit(x) for i, c in enumerate(("LONG_SENTENCE", "SHORT_SENTENCE", "HIGH_HEDGE_COUNT", "LOW_DENSITY", "VAGUE", "LOW_COHERENCE", "REDUNDANT"), 1) for x in (c, i)))
-    found = flagged(spark, sf_dir, lang).select("doc_id", F.posexplode("flags").alias("idx", "fs")).select("doc_id", F.col("idx").cast("long").alias("idx"), F.inline("fs"))
+    found = flagged(spark, sf_dir).select("doc_id", F.posexplode("flags").alias("idx", "fs")).select("doc_id", F.col("idx").cast("long").alias("idx"), F.inline("fs"))
     return found.select("doc_id", "idx", order[F.col("code")].alias("place"), "code", "severity")
 
 
-@query(FLAGS + ", rk AS (SELECT *, CASE severity WHEN 'error' THEN 0.9 WHEN 'warning' THEN 0.7 ELSE 0.4 END::DOUBLE AS impact FROM fe), tp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY impact DESC, idx, place) AS rank FROM rk) SELECT doc_id, rank, idx, code, impact FROM tp WHERE rank <= 5")
-def top_suggestions(spark, sf_dir, lang="en"):
-    found = A.with_suggestions(flagged(spark, sf_dir, lang)).select("doc_id", F.posexplode("suggestions").alias("rank", "x"))
+@query(FLAGS + ", rk AS (SELECT *, CASE severity WHEN 'error' THEN 0.9 WHEN 'warning' THEN 0.7 ELSE 0.4 END::DOUBLE AS impact FROM fl), tp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY impact DESC, idx, place) AS rank FROM rk) SELECT doc_id, rank, idx, code, impact FROM tp WHERE rank <= 5")
+def top_suggestions(spark, sf_dir):
+    found = A.with_suggestions(flagged(spark, sf_dir)).select("doc_id", F.posexplode("suggestions").alias("rank", "x"))
     return found.select("doc_id", (F.col("rank") + 1).cast("long").alias("rank"), F.col("x.sentence_index").cast("long").alias("idx"), F.col("x.flag_code").alias("code"), F.col("x.impact").alias("impact"))
 
 
-@query(FLAGS + " SELECT doc_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'suggestion') AS suggestions, array_to_string((list(code ORDER BY idx, place))[1:5], ',') AS top_codes FROM fe GROUP BY doc_id")
-def flags_summary(spark, sf_dir, lang="en"):
-    found = flagged(spark, sf_dir, lang).where(F.size(F.flatten("flags")) > 0).select("doc_id", A.flags_summary().alias("s")).select("doc_id", "s.*")
+@query(FLAGS + " SELECT doc_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'suggestion') AS suggestions, array_to_string((list(code ORDER BY idx, place))[1:5], ',') AS top_codes FROM fl GROUP BY doc_id")
+def flags_summary(spark, sf_dir):
+    found = flagged(spark, sf_dir).where(F.size(F.flatten("flags")) > 0).select("doc_id", A.flags_summary().alias("s")).select("doc_id", "s.*")
     return found.withColumn("top_codes", F.array_join("top_codes", ","))
