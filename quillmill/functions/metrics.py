@@ -158,34 +158,34 @@ GRADES = [
 
 def syllables(word: Column) -> Column:
     """Groups of vowels, less a silent final e; one at least. A rule, not a dictionary."""
-    w = F.lower(word)
-    groups = F.regexp_count(w, F.lit("[aeiouyà-öø-ÿ]+"))
-    silent = F.when(w.rlike(r"[^aeiouyl\W]e\W*$") & (groups > 1), 1).otherwise(0)
-    return F.greatest(groups - silent, F.lit(1))
+
+    def of(w: Column) -> Column:
+        groups = F.regexp_count(w, F.lit("[aeiouyà-öø-ÿ]+"))
+        return let(groups, lambda n: F.when(n <= 1, 1).when(w.rlike(r"[^aeiouyl\W]e\W*$"), n - 1).otherwise(n))
+
+    return let(F.lower(word), of)
 
 
 def text_counts(ws: Column, n_sentences: Column, easy_words: list[str] | None = None) -> Column:
     """What the formulas need. Difficult words are those that are not in ``easy_words``, or, without a list, those of three syllables or more."""
-    counted = F.transform(ws, lambda w: F.struct(syllables(w).alias("y"), F.length(F.regexp_replace(w, r"[^\p{L}\p{N}]", "")).alias("c"), bare(w).alias("w")))
-    zero = F.struct(*(F.lit(0).cast("long").alias(k) for k in ("y", "c", "poly", "hard")))
+    count = lambda xs: F.size(xs).cast("double")
 
-    def add(a, x):
-        hard = ~x.w.isin(easy_words) if easy_words else x.y >= 3
+    def of(ys: Column) -> Column:
+        poly = count(F.filter(ys, lambda y: y >= 3))
         return F.struct(
-            (a.y + x.y).alias("y"), (a.c + x.c).alias("c"), (a.poly + F.when(x.y >= 3, 1).otherwise(0)).alias("poly"), (a.hard + F.when(hard, 1).otherwise(0)).alias("hard")
+            F.size(ws).cast("double").alias("w"),
+            n_sentences.cast("double").alias("s"),
+            F.aggregate(ys, F.lit(0).cast("long"), lambda a, y: a + y).cast("double").alias("y"),
+            F.length(F.regexp_replace(F.array_join(ws, ""), r"[^\p{L}\p{N}]+", "")).cast("double").alias("c"),
+            poly.alias("poly"),
+            (count(F.filter(ws, lambda w: ~bare(w).isin(easy_words))) if easy_words else poly).alias("hard"),
+            F.aggregate(F.slice(ys, 1, 100), F.lit(0), lambda a, y: a + F.when(y >= 3, 3).otherwise(1)).cast("double").alias("points"),
         )
 
-    return F.aggregate(
-        counted,
-        zero,
-        add,
-        lambda a: F.struct(
-            F.size(ws).cast("double").alias("w"), n_sentences.cast("double").alias("s"), a.y.cast("double").alias("y"), a.c.cast("double").alias("c"), a.poly.cast("double").alias("poly"), a.hard.cast("double").alias("hard")
-        ),
-    )
+    return let(F.transform(ws, syllables), of)
 
 
-def grade_columns(c: Column, points: Column, ends: Column) -> dict[str, Column]:
+def grade_columns(c: Column, ends: Column) -> dict[str, Column]:
     """Published formulas over ``text_counts``; the last one over the first hundred words."""
     difficult = 100 * ratio(c.hard, c.w)
     out = {
@@ -195,16 +195,11 @@ def grade_columns(c: Column, points: Column, ends: Column) -> dict[str, Column]:
         "smog_index": 1.043 * F.sqrt(30 * ratio(c.poly, c.s)) + 3.1291,
         "automated_readability_index": 4.71 * ratio(c.c, c.w) + 0.5 * ratio(c.w, c.s) - 21.43,
         "dale_chall_readability_score": 0.1579 * difficult + 0.0496 * ratio(c.w, c.s) + F.when(difficult > 5, 3.6365).otherwise(0.0),
-        "linsear_write_formula": linsear(points, ends),
+        "linsear_write_formula": linsear(c.points, ends),
     }
     return {k: F.when(c.w > 0, v).otherwise(F.lit(0.0)) for k, v in out.items()}
 
 
-def linsear_points(ws: Column) -> Column:
-    """Of the first hundred words: one point for an easy word, three for one of three syllables or more."""
-    return F.aggregate(F.transform(F.slice(ws, 1, 100), lambda w: F.when(syllables(w) >= 3, 3).otherwise(1)), F.lit(0), lambda a, x: a + x).cast("double")
-
-
 def linsear_sentences(ws: Column) -> Column:
     """Sentence ends among the first hundred words; one at least."""
     return F.greatest(F.size(F.filter(F.slice(ws, 1, 100), lambda w: w.rlike("[.!?]$"))), F.lit(1)).cast("double")
@@ -230,7 +225,9 @@ def gaussian_score(grade: Column, target: Column, sigma: Column) -> Column:
 
 
 def latin_abbreviations(text: Column, patterns: list[str] = L.LATIN_ABBREVIATIONS) -> Column:
-    return F.flatten(F.array(*(F.regexp_extract_all(text, F.lit("(?iuU)" + p), F.lit(0)) for p in patterns)))
+    none = F.expr("cast(array() as array<string>)")
+    found = F.flatten(F.array(none, *(F.regexp_extract_all(text, F.lit("(?iuU)" + p), F.lit(0)) for p in patterns)))
+    return F.when(text.rlike("(?iuU)(?:" + "|".join(patterns) + ")"), found).otherwise(none) if patterns else none
 
 
 def nominalisations(bare_: Column, suffixes: list[str] = L.NOMINAL_SUFFIXES) -> Column:
@@ -244,7 +241,10 @@ def tone_score(compound: Column, contraction_density: Column) -> Column:
 
 def hedges(sentence: Column, bare_: Column, phrases: list[str] = L.HEDGE_PHRASES, listed: list[str] = L.HEDGE_WORDS) -> Column:
     """Phrases, in the order of the list, then single words, in the order of the text; all lower case."""
-    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all(sentence, F.lit(rf"(?iuU)\b{p}\b"), F.lit(0)), F.lower) for p in phrases)))
+    none = F.expr("cast(array() as array<string>)")
+    found = F.flatten(F.array(none, *(F.transform(F.regexp_extract_all(sentence, F.lit(rf"(?iuU)\b{p}\b"), F.lit(0)), F.lower) for p in phrases)))
+    if phrases:  # most sentences hold none: one search instead of one a phrase
+        found = F.when(sentence.rlike(r"(?iuU)\b(?:" + "|".join(phrases) + r")\b"), found).otherwise(none)
     return F.concat(found, F.filter(bare_, lambda w: w.isin(listed)))
 
 

@@ -4,13 +4,13 @@ Everything here is a built-in expression over one document: no shuffle and no Py
 built once as columns and reused, since Catalyst does not fold a costly expression that is used twice.
 """
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lexicons import FIRST_STRIP, WORD_STRIP
+
 #: White space as in Unicode, with the four separators U+001C to U+001F.
 SPACE = r"(?U)[\s\x1c-\x1f]"
-WORD_STRIP_PATTERN = "^[.,;:!?\"'()\\[\\]]+|[.,;:!?\"'()\\[\\]]+$"
-FIRST_STRIP_PATTERN = "^[.,;:!?()\\[\\]]+|[.,;:!?()\\[\\]]+$"
 
 
 def stripped(text: Column) -> Column:
@@ -30,7 +30,7 @@ def sentences(text: Column) -> Column:
 
 def bare(word: Column) -> Column:
     """Lower case, without punctuation around it."""
-    return F.regexp_replace(F.lower(word), WORD_STRIP_PATTERN, "")
+    return F.btrim(F.lower(word), F.lit(WORD_STRIP))
 
 
 def bare_words(ws: Column) -> Column:
@@ -43,7 +43,7 @@ def first_word(sentence: Column) -> Column:
 
 
 def bare_first_word(sentence: Column) -> Column:
-    return F.regexp_replace(first_word(sentence), FIRST_STRIP_PATTERN, "")
+    return F.btrim(first_word(sentence), F.lit(FIRST_STRIP))
 
 
 def is_alphabetic(word: Column) -> Column:
@@ -87,3 +87,11 @@ def run_lengths(ordered: Column) -> Column:
         return F.when(n > 0, steps).otherwise(F.expr("cast(array() as array<int>)"))
 
     return let(ordered, of)
+
+
+def each(df: DataFrame, array: Column | str, keep: list[str], idx: str = "idx", into: str = "x") -> DataFrame:
+    """A row for each element of an array: the columns ``keep``, its place from 0, the element. The outer
+    form, with the empty rows dropped after it: the other one would have Spark test the array for
+    elements first, and so compute it anew for each test."""
+    rows = df.select(*keep, F.posexplode_outer(array).alias(idx, into)).where(F.col(idx).isNotNull())
+    return rows.withColumn(idx, F.col(idx).cast("long"))

@@ -59,8 +59,8 @@ def with_vocabulary(df: DataFrame) -> DataFrame:
 def with_readability(df: DataFrame, easy_words: list[str] | None = None) -> DataFrame:
     """Adds the seven grades, consensus_grade, flesch_reading_ease."""
     ws = F.col("words")
-    df = df.withColumns({"counts": M.text_counts(ws, F.size("sentences"), easy_words), "points": M.linsear_points(ws), "ends": M.linsear_sentences(ws)})
-    df = df.withColumns(M.grade_columns(F.col("counts"), F.col("points"), F.col("ends")))
+    df = df.withColumns({"counts": M.text_counts(ws, F.size("sentences"), easy_words), "ends": M.linsear_sentences(ws)})
+    df = df.withColumns(M.grade_columns(F.col("counts"), F.col("ends")))
     mean = sum((F.col(g) for g in M.GRADES), F.lit(0.0)) / len(M.GRADES)
     return df.withColumns({"consensus_grade": F.round(mean, 1) + 0.0, "flesch_reading_ease": M.flesch_ease(F.col("counts"))})
 

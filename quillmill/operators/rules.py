@@ -57,29 +57,51 @@ def match(text: Column, line: Column | int = 1, col: Column | int = 1, replaceme
     return F.struct(text.alias("matched_text"), number(line).alias("line"), number(col).alias("col"), (replacement if replacement is not None else F.lit(None).cast("string")).alias("replacement"))
 
 
-def at(segment: Column, start: Column, hit: Column, replacement: Column | None = None) -> Column:
-    """A match at an offset (from 0)."""
-    before = F.substring(segment, F.lit(1), start)
-    last = F.length(before) - F.instr(F.reverse(before), "\n")
-    has = F.contains(before, F.lit("\n"))
-    return match(hit, F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1, F.when(has, start - last).otherwise(start + 1), replacement)
-
-
 def split_at(segment: Column, pattern: str) -> Column:
-    """Struct of hits and the pieces around them. Both alternate, so a hit starts after all pieces up to it and all hits before it."""
+    """Hits of a pattern and ``at``: the line of each and the characters before it in that line."""
     p = _FLAGS + pattern
-    return F.struct(F.regexp_extract_all(segment, F.lit(p), F.lit(0)).alias("hits"), F.split(segment, p, -1).alias("pieces"))
+    found = F.struct(F.regexp_extract_all(segment, F.lit(p), F.lit(0)).alias("hits"), F.split(segment, p, -1).alias("pieces"))
+    return T.let(found, lambda v: F.struct(v.hits.alias("hits"), _places(v).alias("at")))
+
+
+def _span(s: Column) -> Column:
+    """How a stretch of text moves a place: lines further, and characters since the last line feed."""
+    broken = F.contains(s, F.lit("\n"))
+    return F.when(broken, F.struct((F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))).alias("lines"), F.length(F.substring_index(s, "\n", -1)).alias("behind"))).otherwise(
+        F.struct(F.lit(0).alias("lines"), F.length(s).alias("behind"))
+    )
+
+
+def _moved(a: Column, b: Column) -> Column:
+    return F.struct((a.lines + b.lines).alias("lines"), F.when(b.lines > 0, b.behind).otherwise(a.behind + b.behind).alias("behind"))
+
+
+def _places(v: Column) -> Column:
+    """Pieces and hits alternate, so a hit starts after all pieces up to it and all hits before it.
+
+    The running sums are made by doubling: in pass k each place adds that of 2^k places before, so n
+    hits cost n log n steps however long the text is."""
+    spans = F.transform(v.hits, lambda h, k: F.struct(_span(F.get(v.pieces, k)).alias("piece"), _span(h).alias("hit")))
+
+    def of(xs: Column) -> Column:
+        passes = F.slice(F.sequence(F.lit(0), F.lit(30)), F.lit(1), F.ceil(F.log2(F.greatest(F.size(xs), F.lit(1)))).cast("int"))
+        whole = F.transform(xs, lambda x: _moved(x.piece, x.hit))
+        # The bound array is named once a pass, so that no pass computes the one before it twice.
+        sums = F.aggregate(passes, whole, lambda acc, k: F.transform(acc, lambda x, i: F.when(i >= F.call_function("shiftleft", F.lit(1), k), _moved(F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)), x)).otherwise(x)))
+        return T.let(sums, lambda done: F.transform(xs, lambda x, i: F.when(i == 0, x.piece).otherwise(_moved(F.get(done, i - 1), x.piece))))
+
+    return T.let(spans, of)
 
 
-def hit_at(segment: Column, v: Column, k: Column, replacement: Column | None = None) -> Column:
+def hit_at(v: Column, k: Column, replacement: Column | None = None) -> Column:
     """The match of hit ``k`` (from 0) of ``split_at``."""
-    length = lambda xs: F.length(F.array_join(xs, ""))
-    return at(segment, length(F.slice(v.pieces, 1, k + 1)) + length(F.slice(v.hits, 1, k)), F.get(v.hits, k), replacement)
+    place = F.get(v.at, k)
+    return match(F.get(v.hits, k), place.lines + 1, place.behind + 1, replacement)
 
 
 def occurrences(segment: Column, pattern: str, replacement: Column | None = None) -> Column:
     """Every hit with its place."""
-    return T.let(split_at(segment, pattern), lambda v: F.transform(v.hits, lambda _, k: hit_at(segment, v, k, replacement)))
+    return T.let(split_at(segment, pattern), lambda v: F.transform(v.hits, lambda _, k: hit_at(v, k, replacement)))
 
 
 def _patterns(rule: dict) -> list[str]:
@@ -118,7 +140,7 @@ def repetition(s: Column, rule: dict) -> Column:
             """Of the sorted words those that came before, by runs of equal ones, each with its run's match."""
             starts = F.filter(F.sequence(F.lit(0), F.size(xs)), lambda k: (k == 0) | (k == F.size(xs)) | (F.get(xs, k - 1).w != F.get(xs, k).w))
             runs = T.let(starts, lambda b: F.zip_with(F.slice(b, 1, F.size(b) - 1), F.slice(b, 2, F.size(b) - 1), lambda a, z: F.struct(a.alias("a"), (z - a).alias("n"))))
-            second = lambda r: T.let(hit_at(s, v, F.get(xs, r.a + 1).i), lambda m: F.transform(F.slice(xs, r.a + 2, r.n - 1), lambda x: F.struct(x.i.alias("i"), match(x.w, m.line, m.col).alias("m"))))
+            second = lambda r: T.let(hit_at(v, F.get(xs, r.a + 1).i), lambda m: F.transform(F.slice(xs, r.a + 2, r.n - 1), lambda x: F.struct(x.i.alias("i"), match(x.w, m.line, m.col).alias("m"))))
             return F.flatten(F.transform(F.filter(runs, lambda r: r.n > 1), second))
 
         return F.transform(F.sort_array(T.let(F.sort_array(named), again)), lambda x: x.m)
@@ -173,14 +195,14 @@ def metric(s: Column, rule: dict) -> Column:
         return _joined([])
 
     def of(v: Column) -> Column:
-        made = M.grade_columns(v.counts, v.points, v.ends) | {"flesch_reading_ease": M.flesch_ease(v.counts)}
+        made = M.grade_columns(v.counts, v.ends) | {"flesch_reading_ease": M.flesch_ease(v.counts)}
         low, high = rule.get("min"), rule.get("max")
         broken = F.lit(False) if low is None else made[name] < float(low)
         broken = broken if high is None else broken | (made[name] > float(high))
         head = F.when(F.length(s) > 50, F.concat(F.substring(s, 1, 50), F.lit("..."))).otherwise(s)
         return F.when(broken, F.array(match(head))).otherwise(F.expr(f"cast(array() as {MATCH})"))
 
-    counts = lambda ws: F.struct(M.text_counts(ws, F.size(T.sentences(s))).alias("counts"), M.linsear_points(ws).alias("points"), M.linsear_sentences(ws).alias("ends"))
+    counts = lambda ws: F.struct(M.text_counts(ws, F.size(T.sentences(s))).alias("counts"), M.linsear_sentences(ws).alias("ends"))
     return T.let(T.let(T.words(s), counts), of)
 
 

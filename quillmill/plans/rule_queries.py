@@ -105,8 +105,8 @@ def rule_violations(spark, sf_dir):
 def rule_sentence_flags(spark, sf_dir):
     rules = [{"id": "w", "type": "existence", "tokens": ["wher"]}, {"id": "f", "type": "existence", "tokens": ["from"]}]
     found = texts(spark, sf_dir).select("doc_id", R.rule_flags(R.rule_matches(rules, F.col("text")), T.sentences(F.col("text"))).alias("flags"))
-    rows = found.select("doc_id", F.posexplode("flags").alias("idx", "f")).where(F.size("f") > 0)
-    return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), F.size("f").cast("long").alias("n_flags"))
+    rows = T.each(found, "flags", ["doc_id"], into="f").where(F.size("f") > 0)
+    return rows.select("doc_id", "idx", F.size("f").cast("long").alias("n_flags"))
 
 
 TARGETS = {"formality": 0.8, "confidence": 0.8, "warmth": 0.3, "directness": 0.7, "energy": 0.3, "verbosity": 0.5}
@@ -147,8 +147,8 @@ SQL["compare_turns"] = (BASE + Q.HEALTH).replace("FROM documents)", f"FROM {TURN
 @query()
 def sentence_alignment(spark, sf_dir):
     pairs = turn_pairs(spark, sf_dir)
-    found = pairs.select("conv_id", "turn", F.inline(C.sentence_alignment(F.col("original"), F.col("rewritten"), C.semantic_similarity())))
-    return found.select("conv_id", "turn", F.col("index").cast("long").alias("idx"), "original", "rewritten", "similarity")
+    found = T.each(pairs, C.sentence_alignment(F.col("original"), F.col("rewritten"), C.semantic_similarity()), ["conv_id", "turn"])
+    return found.select("conv_id", "turn", "idx", "x.original", "x.rewritten", "x.similarity")
 
 
 SQL["sentence_alignment"] = BASE.replace("FROM documents)", f"FROM {TURNS})", 1) + (
@@ -225,8 +225,8 @@ _CUT = "array_to_string((" + Q.WORDS_OF + ")[1:30], ' ')"
 
 @query(", x AS (SELECT doc_id, idx, sentence, len(" + Q.WORDS_OF.format(x="sentence") + ") AS n_words, lag(sentence) OVER o AS p, lead(sentence) OVER o AS n FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY idx)) SELECT doc_id, idx, n_words, CASE WHEN n_words < 10 THEN 'short' WHEN n_words <= 25 THEN 'medium' ELSE 'long' END AS length_class, CASE WHEN p IS NOT NULL THEN " + _CUT.format(x="p") + " END AS previous, CASE WHEN n IS NOT NULL THEN " + _CUT.format(x="n") + " END AS next FROM x")
 def context_packet(spark, sf_dir):
-    found = Q.docs(spark, sf_dir).select("doc_id", F.inline(D.context_packets(F.col("sentences"))))
-    return found.select("doc_id", F.col("sentence_index").cast("long").alias("idx"), F.col("n_words").cast("long").alias("n_words"), "length_class", "previous", "next")
+    found = T.each(Q.docs(spark, sf_dir), D.context_packets(F.col("sentences")), ["doc_id"])
+    return found.select("doc_id", "idx", F.col("x.n_words").cast("long").alias("n_words"), "x.length_class", "x.previous", "x.next")
 
 
 @query(
@@ -234,9 +234,9 @@ def context_packet(spark, sf_dir):
     + _CUT.format(x="p") + " END, 'next: ' || CASE WHEN n IS NOT NULL THEN " + _CUT.format(x="n") + " END, 'length: ' || CASE WHEN n_words < 10 THEN 'short' WHEN n_words <= 25 THEN 'medium' ELSE 'long' END, 'sentiment: neutral', 'tone: formality=0.8, warmth=0.3') AS context FROM x"
 )
 def context_string(spark, sf_dir):
-    found = Q.docs(spark, sf_dir).select("doc_id", F.explode(D.context_packets(F.col("sentences"))).alias("p"))
+    found = T.each(Q.docs(spark, sf_dir), D.context_packets(F.col("sentences")), ["doc_id"], into="p")
     made = D.context_string(F.col("p"), sentiment=D.sentiment_label(F.lit(0.0)), tone={"formality": 0.8, "warmth": 0.3})
-    return found.select("doc_id", F.col("p.sentence_index").cast("long").alias("idx"), made.alias("context"))
+    return found.select("doc_id", "idx", made.alias("context"))
 
 
 @query(Q.NATURAL + " SELECT doc_id, (4 + CASE WHEN b < 0.20 AND h < 0.35 AND z > 0.96 THEN 1 ELSE 0 END + CASE WHEN lang = 'en' THEN 1 ELSE 0 END)::BIGINT AS n_tasks FROM nat")
@@ -248,8 +248,8 @@ def task_gating(spark, sf_dir):
 
 @query("SELECT doc_id, idx, ceil(1.3 * len(" + Q.WORDS_OF.format(x="sentence") + "))::BIGINT AS n_subwords, 'Extract the core meaning of this sentence in 10 words or fewer: ' || sentence AS prompt FROM s")
 def prompts(spark, sf_dir):
-    found = Q.docs(spark, sf_dir).select("doc_id", F.posexplode("sentences").alias("idx", "s"))
-    return found.select("doc_id", F.col("idx").cast("long").alias("idx"), D.estimated_subwords(T.words(F.col("s"))).alias("n_subwords"), D.prompt("core_meaning", F.col("s")).alias("prompt"))
+    found = T.each(Q.docs(spark, sf_dir), "sentences", ["doc_id"], into="s")
+    return found.select("doc_id", "idx", D.estimated_subwords(T.words(F.col("s"))).alias("n_subwords"), D.prompt("core_meaning", F.col("s")).alias("prompt"))
 
 
 @query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') AND value >= 50 THEN event_type ELSE 'view' END AS label, CASE WHEN event_type IN ('click', 'view') AND value >= 50 THEN value ELSE 0 END::DOUBLE AS confidence FROM events", base=False)

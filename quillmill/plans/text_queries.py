@@ -114,7 +114,7 @@ def doc_token_stats(spark, sf_dir):
 
 @query("SELECT doc_id, idx, sentence FROM s")
 def sentence_split(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.posexplode("sentences").alias("idx", "sentence")).withColumn("idx", F.col("idx").cast("long"))
+    return T.each(docs(spark, sf_dir), "sentences", ["doc_id"], into="sentence")
 
 
 @query("SELECT doc_id, len(ws) AS token_count, len(ws) > 1000 AS too_long FROM t WHERE len(ws) > 1000 OR len(ws) = 0")
@@ -128,8 +128,8 @@ def text_too_long(spark, sf_dir):
 
 @query("SELECT doc_id, idx, len(" + WORDS_OF.format(x="sentence") + ") AS n_words FROM s")
 def sentence_lengths(spark, sf_dir):
-    found = docs(spark, sf_dir).select("doc_id", F.posexplode(M.sentence_lengths(F.col("sentences"))).alias("idx", "n_words"))
-    return found.select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("n_words").cast("long").alias("n_words"))
+    found = T.each(docs(spark, sf_dir), M.sentence_lengths(F.col("sentences")), ["doc_id"], into="n_words")
+    return found.select("doc_id", "idx", F.col("n_words").cast("long").alias("n_words"))
 
 
 @query(f"SELECT doc_id, round(coalesce(list_stddev_pop(lens) / nullif(list_avg(lens), 0), 0), 6) AS burstiness FROM (SELECT doc_id, {LENS} AS lens FROM t)")
@@ -313,8 +313,8 @@ _SENT_COUNTS = (
     + " SELECT split_part(doc_id, ':', 1)::BIGINT AS doc_id, split_part(doc_id, ':', 2)::BIGINT AS idx, round((fk + fog + cli + smog + ari + dc + lw) / 7, 1) + 0.0 AS grade FROM gr"
 )
 def sentence_grades(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("doc_id", F.posexplode("sentences").alias("idx", "sentence"))
-    found = A.with_readability(rows.select("doc_id", F.col("idx").cast("long").alias("idx"), T.words(F.col("sentence")).alias("words"), F.array("sentence").alias("sentences")))
+    rows = T.each(docs(spark, sf_dir), "sentences", ["doc_id"], into="sentence")
+    found = A.with_readability(rows.select("doc_id", "idx", T.words(F.col("sentence")).alias("words"), F.array("sentence").alias("sentences")))
     return found.select("doc_id", "idx", F.col("consensus_grade").alias("grade"))
 
 
@@ -369,14 +369,14 @@ def signalled(spark, sf_dir) -> DataFrame:
 
 @query(SIGNALS + "SELECT doc_id, idx, hedge_count FROM h")
 def hedge_counts(spark, sf_dir):
-    found = signalled(spark, sf_dir).select("doc_id", F.inline("signals"))
-    return found.select("doc_id", F.col("sentence_index").cast("long").alias("idx"), F.col("hedge_count").cast("long").alias("hedge_count"))
+    found = T.each(signalled(spark, sf_dir), "signals", ["doc_id"])
+    return found.select("doc_id", "idx", F.col("x.hedge_count").cast("long").alias("hedge_count"))
 
 
 @query(SIGNALS + "SELECT doc_id, idx, round(density, 6) AS information_density, round(specificity, 6) AS specificity, round(coherence, 6) AS coherence_to_next FROM h")
 def sentence_signals(spark, sf_dir):
-    found = signalled(spark, sf_dir).select("doc_id", F.inline("signals"))
-    return found.select("doc_id", F.col("sentence_index").cast("long").alias("idx"), r6("information_density").alias("information_density"), r6("specificity").alias("specificity"), r6("coherence_to_next").alias("coherence_to_next"))
+    found = T.each(signalled(spark, sf_dir), "signals", ["doc_id"])
+    return found.select("doc_id", "idx", r6("x.information_density").alias("information_density"), r6("x.specificity").alias("specificity"), r6("x.coherence_to_next").alias("coherence_to_next"))
 
 
 @query(SIGNALS + "SELECT doc_id, round(0.6 * count(*) FILTER (WHERE density > 0) / count(*), 6) AS mean_density, round(avg(specificity), 6) AS mean_specificity, round(coalesce(avg(coherence), 0), 6) AS mean_coherence FROM h GROUP BY doc_id")
@@ -481,7 +481,7 @@ red AS (SELECT a.doc_id, a.idx FROM us a WHERE EXISTS (SELECT 1 FROM us b WHERE
 @query(REDUNDANT + " SELECT doc_id, idx FROM red")
 def redundant_sentences(spark, sf_dir):
     found = A.with_redundancy(docs(spark, sf_dir))
-    return found.select("doc_id", F.explode("redundant").alias("idx")).withColumn("idx", F.col("idx").cast("long"))
+    return T.each(found, "redundant", ["doc_id"], "nth").select("doc_id", F.col("x").cast("long").alias("idx"))
 
 
 FLAGS = SIGNALS + REDUNDANT + """, fl AS (
@@ -501,17 +501,18 @@ def flagged(spark, sf_dir) -> DataFrame:
 @query(FLAGS + " SELECT doc_id, idx, place, code, severity FROM fl")
 def sentence_flags(spark, sf_dir):
     order = F.create_map(*(F.lit(x) for i, c in enumerate(("LONG_SENTENCE", "SHORT_SENTENCE", "HIGH_HEDGE_COUNT", "LOW_DENSITY", "VAGUE", "LOW_COHERENCE", "REDUNDANT"), 1) for x in (c, i)))
-    found = flagged(spark, sf_dir).select("doc_id", F.posexplode("flags").alias("idx", "fs")).select("doc_id", F.col("idx").cast("long").alias("idx"), F.inline("fs"))
+    listed_ = F.flatten(F.transform("flags", lambda fs, i: F.transform(fs, lambda f: F.struct(i.cast("long").alias("idx"), f.code.alias("code"), f.severity.alias("severity")))))
+    found = T.each(flagged(spark, sf_dir), listed_, ["doc_id"], "nth").select("doc_id", "x.*")
     return found.select("doc_id", "idx", order[F.col("code")].alias("place"), "code", "severity")
 
 
 @query(FLAGS + ", rk AS (SELECT *, CASE severity WHEN 'error' THEN 0.9 WHEN 'warning' THEN 0.7 ELSE 0.4 END::DOUBLE AS impact FROM fl), tp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY impact DESC, idx, place) AS rank FROM rk) SELECT doc_id, rank, idx, code, impact FROM tp WHERE rank <= 5")
 def top_suggestions(spark, sf_dir):
-    found = A.with_suggestions(flagged(spark, sf_dir)).select("doc_id", F.posexplode("suggestions").alias("rank", "x"))
-    return found.select("doc_id", (F.col("rank") + 1).cast("long").alias("rank"), F.col("x.sentence_index").cast("long").alias("idx"), F.col("x.flag_code").alias("code"), F.col("x.impact").alias("impact"))
+    found = T.each(A.with_suggestions(flagged(spark, sf_dir)), "suggestions", ["doc_id"], "rank")
+    return found.select("doc_id", (F.col("rank") + 1).alias("rank"), F.col("x.sentence_index").cast("long").alias("idx"), F.col("x.flag_code").alias("code"), F.col("x.impact").alias("impact"))
 
 
-@query(FLAGS + " SELECT doc_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'suggestion') AS suggestions, array_to_string((list(code ORDER BY idx, place))[1:5], ',') AS top_codes FROM fl GROUP BY doc_id")
+@query(FLAGS + " SELECT doc_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'suggestion') AS suggestions, coalesce(array_to_string((list(code ORDER BY idx, place) FILTER (WHERE code IS NOT NULL))[1:5], ','), '') AS top_codes FROM t LEFT JOIN fl USING (doc_id) GROUP BY doc_id")
 def flags_summary(spark, sf_dir):
-    found = flagged(spark, sf_dir).where(F.size(F.flatten("flags")) > 0).select("doc_id", A.flags_summary().alias("s")).select("doc_id", "s.*")
+    found = flagged(spark, sf_dir).select("doc_id", A.flags_summary().alias("s")).select("doc_id", "s.*")
     return found.withColumn("top_codes", F.array_join("top_codes", ","))
