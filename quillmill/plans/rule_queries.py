@@ -67,12 +67,12 @@ def rule_capitalization(spark, sf_dir):
 @query(Q.COUNTS + " SELECT doc_id, (CASE WHEN ari > 12 OR ari < 4 THEN 1 ELSE 0 END)::BIGINT AS n_ari, (CASE WHEN fre < 30 THEN 1 ELSE 0 END)::BIGINT AS n_fre FROM gr")
 def rule_metric(spark, sf_dir):
     rule = lambda **how: F.size(R.compile_rule({"type": "metric"} | how, F.col("text"))).cast("long")
-    return texts(spark, sf_dir).where(F.size(T.words(F.col("text"))) > 0).select("doc_id", rule(metric="ari", min=4, max=12).alias("n_ari"), rule(metric="fre", min=30).alias("n_fre"))
+    return Q.with_words(texts(spark, sf_dir)).select("doc_id", rule(metric="ari", min=4, max=12).alias("n_ari"), rule(metric="fre", min=30).alias("n_fre"))
 
 
 @query(f", e AS (SELECT doc_id, unnest(ss) AS s FROM t) SELECT doc_id, sum({hits('the', 's')})::BIGINT AS n_matches FROM e GROUP BY doc_id")
 def rule_scope_sentence(spark, sf_dir):
-    found = texts(spark, sf_dir).where(F.size(T.sentences(F.col("text"))) > 0)
+    found = Q.with_words(texts(spark, sf_dir))
     return found.select("doc_id", F.size(R.compile_rule({"type": "existence", "tokens": ["the"], "scope": "sentence"}, F.col("text"))).cast("long").alias("n_matches"))
 
 

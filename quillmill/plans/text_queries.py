@@ -100,6 +100,15 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.with_tokens(spread(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text"])))
 
 
+def with_words(df: DataFrame) -> DataFrame:
+    """Documents that have a word. The condition is on the text alone: one on words or sentences would be pushed below them, and so compute them twice."""
+    return df.where(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"))
+
+
+def worded(spark, sf_dir) -> DataFrame:
+    return A.with_tokens(with_words(spread(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text"]))))
+
+
 def one(spark, sf_dir, name: str, c: Column) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", c.alias(name))
 
@@ -148,7 +157,7 @@ def length_skewness(spark, sf_dir):
 
 @query(", f AS (SELECT doc_id, lower(word) AS word, count(*) AS n FROM w GROUP BY ALL) SELECT doc_id, round(count(*) FILTER (WHERE n = 1) / count(*), 6) AS hapax_ratio FROM f GROUP BY doc_id")
 def hapax_ratio(spark, sf_dir):
-    found = docs(spark, sf_dir).where("token_count > 0").withColumn("f", M.word_frequencies(F.transform("words", F.lower)))
+    found = worded(spark, sf_dir).withColumn("f", M.word_frequencies(F.transform("words", F.lower)))
     return found.select("doc_id", r6(M.hapax_ratio(F.col("f"))).alias("hapax_ratio"))
 
 
@@ -157,7 +166,7 @@ def hapax_ratio(spark, sf_dir):
 SELECT doc_id, round(CASE WHEN min(n) = max(n) THEN 1.0 ELSE regr_r2(ln(n), ln(k)) END, 6) AS zipf_r_squared FROM r GROUP BY doc_id"""
 )
 def zipf_r2(spark, sf_dir):
-    found = docs(spark, sf_dir).where("token_count > 0").withColumn("f", M.word_frequencies(F.transform("words", F.lower)))
+    found = worded(spark, sf_dir).withColumn("f", M.word_frequencies(F.transform("words", F.lower)))
     return found.select("doc_id", r6(M.zipf_r2(F.col("f"))).alias("zipf_r_squared"))
 
 
@@ -168,7 +177,7 @@ def punctuation_entropy(spark, sf_dir):
 
 @query(r"SELECT doc_id, round(count(DISTINCT lower(regexp_extract(sentence, '^(\S*)', 1))) / count(*), 6) AS starter_diversity FROM s GROUP BY doc_id")
 def starter_diversity(spark, sf_dir):
-    return docs(spark, sf_dir).where(F.size("sentences") > 0).select("doc_id", r6(M.starter_diversity(F.transform("sentences", T.first_word))).alias("starter_diversity"))
+    return worded(spark, sf_dir).select("doc_id", r6(M.starter_diversity(F.transform("sentences", T.first_word))).alias("starter_diversity"))
 
 
 NATURAL = f"""
@@ -217,7 +226,7 @@ def calibration_by_label(spark, sf_dir):
 
 @query(r"SELECT doc_id, round(coalesce(count(DISTINCT lower(word)) FILTER (WHERE regexp_matches(word, '^\p{L}+$')) / nullif(count(*) FILTER (WHERE regexp_matches(word, '^\p{L}+$')), 0), 0), 6) AS ttr FROM w GROUP BY doc_id")
 def type_token_ratio(spark, sf_dir):
-    return docs(spark, sf_dir).where("token_count > 0").select("doc_id", r6(M.type_token_ratio(F.transform("words", F.lower))).alias("ttr"))
+    return worded(spark, sf_dir).select("doc_id", r6(M.type_token_ratio(F.transform("words", F.lower))).alias("ttr"))
 
 
 _FACTORS = """list_reduce(list_prepend({{'types': []::VARCHAR[], 'n': 0.0::DOUBLE, 'f': 0.0::DOUBLE}}, list_transform({x}, lambda y: {{'types': [y], 'n': 1.0::DOUBLE, 'f': 0.0::DOUBLE}})), lambda a, y:
@@ -268,7 +277,7 @@ COUNTS = (
 
 
 def readable(spark, sf_dir) -> DataFrame:
-    return A.with_readability(docs(spark, sf_dir).where("token_count > 0"))
+    return A.with_readability(worded(spark, sf_dir))
 
 
 @query(COUNTS + " SELECT doc_id, round(ari, 6) AS automated_readability_index, round(cli, 6) AS coleman_liau_index FROM gr")
@@ -324,7 +333,7 @@ def sentence_grades(spark, sf_dir):
 @query(f"SELECT doc_id, round(count(*) FILTER (WHERE lower(word) IN ({listed(CONTRACTIONS_FOUND)})) / count(*), 6) AS density, round(count(*) FILTER (WHERE lower(word) IN ({listed(L.CONTRACTIONS)})) / count(*), 6) AS by_default FROM w GROUP BY doc_id")
 def contraction_density(spark, sf_dir):
     of = lambda listed_: r6(T.ratio(T.count_in(F.transform("words", F.lower), listed_), F.size("words")))
-    return docs(spark, sf_dir).where("token_count > 0").select("doc_id", of(CONTRACTIONS_FOUND).alias("density"), of(L.CONTRACTIONS).alias("by_default"))
+    return worded(spark, sf_dir).select("doc_id", of(CONTRACTIONS_FOUND).alias("density"), of(L.CONTRACTIONS).alias("by_default"))
 
 
 @query("SELECT doc_id, " + " + ".join(n_found(p, "array_to_string(ws, ' ')") for p in LATIN_FOUND) + " AS n_found FROM t")
@@ -381,7 +390,7 @@ def sentence_signals(spark, sf_dir):
 
 @query(SIGNALS + "SELECT doc_id, round(0.6 * count(*) FILTER (WHERE density > 0) / count(*), 6) AS mean_density, round(avg(specificity), 6) AS mean_specificity, round(coalesce(avg(coherence), 0), 6) AS mean_coherence FROM h GROUP BY doc_id")
 def signal_means(spark, sf_dir):
-    return signalled(spark, sf_dir).where(F.size("sentences") > 0).select("doc_id", *(r6(c).alias(c) for c in ("mean_density", "mean_specificity", "mean_coherence")))
+    return A.with_sentence_signals(worded(spark, sf_dir), COMMON).select("doc_id", *(r6(c).alias(c) for c in ("mean_density", "mean_specificity", "mean_coherence")))
 
 
 def _share(key: str) -> str:
@@ -402,7 +411,7 @@ _DERIVED_NAMES = {
 
 
 def derived(spark, sf_dir) -> DataFrame:
-    found = A.with_naturalness(signalled(spark, sf_dir).where(F.size("sentences") > 0))
+    found = A.with_naturalness(A.with_sentence_signals(worded(spark, sf_dir), COMMON))
     return A.with_derived_signals(A.with_tone(found.withColumn("bare", T.bare_words(F.col("words")))), COMMON)
 
 
@@ -435,7 +444,7 @@ SCORED = [d for d in L.DIMENSIONS if d != "semantic_preservation"]
 
 
 def health(spark, sf_dir, **how) -> DataFrame:
-    return A.analysed(spread(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text"])), **how).where("token_count > 0")
+    return A.analysed(with_words(spread(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text"]))), **how)
 
 
 @query(HEALTH + " SELECT doc_id, " + ", ".join(f"round({d}, 6) AS {d}, " + _STATUS.format(d=d) for d in SCORED) + " FROM dim")

@@ -40,9 +40,9 @@ def test_repetition_by_brute_force(spark, wanted):
 
 
 @tables
-def test_rule_repetition_whole(spark):
+def test_rule_repetition(spark):
     docs = documents(spark)
-    got = {r.doc_id: r.n_matches for r in registry.queries()["rule_repetition_whole"](spark, DATA).collect()}
+    got = {r.doc_id: r.n_matches for r in registry.queries()["rule_repetition"](spark, DATA).collect()}
     assert any(len(d.text or "") >= 3000 for d in docs.values())
     assert got == {i: len(brute_repetition(d.text or "", ["the", "of"])) for i, d in docs.items()}
 
@@ -51,7 +51,7 @@ def test_every_language(spark, tmp_path):
     texts = {1: ("en", "The end of the nation."), 2: ("fr", "éthe the, thé the\nOf the"), 3: (None, "the_ the-the annulation"), 4: ("de", "and übthat that"), 5: ("es", "")}
     spark.createDataFrame([(i, t, lang, "s") for i, (lang, t) in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     count = lambda t, *ps: sum(len(re.findall(p, t, re.I)) for p in ps)
-    for name, patterns in {"rule_existence_whole": (r"\bthe\b", r"\bof the\b", "an[a-z]+ion"), "rule_substitution_whole": (r"\band\b", r"\bthat\b")}.items():
+    for name, patterns in {"rule_existence": (r"\bthe\b", r"\bof the\b", "an[a-z]+ion"), "rule_substitution": (r"\band\b", r"\bthat\b")}.items():
         got = {r.doc_id: r.n_matches for r in registry.queries()[name](spark, str(tmp_path)).collect()}
         assert got == {i: count(t, *patterns) for i, (_, t) in texts.items()}
 
@@ -59,7 +59,7 @@ def test_every_language(spark, tmp_path):
 @tables
 @pytest.mark.parametrize("name", ["rule_metric", "tone_dimensions", "top_suggestions", "hedge_counts"])
 def test_whole_reads_every_document(spark, name):
-    got = {r.doc_id for r in registry.queries()[f"{name}_whole"](spark, DATA).select("doc_id").collect()}
+    got = {r.doc_id for r in registry.queries()[name](spark, DATA).select("doc_id").collect()}
     docs = documents(spark)
     if name == "rule_metric":
         assert got == {i for i, d in docs.items() if (d.text or "").strip()}
@@ -94,7 +94,7 @@ def brute_sentiment(text):
 
 
 def equals_brute_sentiment(spark, folder, texts):
-    got = {r.doc_id: r.compound for r in registry.queries()["sentiment_compound_whole"](spark, folder).collect()}
+    got = {r.doc_id: r.compound for r in registry.queries()["sentiment_compound"](spark, folder).collect()}
     assert got == {i: pytest.approx(brute_sentiment(t), abs=2e-6) for i, t in texts.items() if t.strip()}
 
 
