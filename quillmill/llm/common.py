@@ -6,7 +6,7 @@ import tempfile
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,13 +45,14 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, key: str, into: str) -> DataFrame:
-    """``df`` with a number from 1 among the rows of equal key, so that key and number name a row.
-    Keys are looked up first: where they are distinct, as they should be, nothing is shuffled."""
-    if df.select(key).groupBy(key).count().where("count > 1").isEmpty():
-        return df.withColumn(into, F.lit(1))
-    order = Window.partitionBy(key).orderBy(F.xxhash64(*df.columns))
-    return df.withColumn(into, F.row_number().over(order))
+def rows_with_ids(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """``df`` and the name of a column that names its rows: ``key`` itself where its values are
+    distinct and there are no nulls, as should be; else a number that is written beside the rows."""
+    counts = df.groupBy(F.col(key).alias("key")).count().where("key is null or count > 1")
+    if counts.isEmpty():
+        return df, key
+    row = "__quillmill_row"
+    return written(df.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def chunks(texts, limit: int = CHUNK_CHARS):

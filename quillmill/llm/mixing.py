@@ -5,33 +5,40 @@
    excess is shared anew by weight until none is above.
 2. Quotas. The words are counted in blocks of ``block`` words. The blocks go to the sources by the
    highest quotients target / (2k + 1), and those of a source to its shards by the highest
-   quotients of the shards' sizes, so that each shard has an integer quota.
-3. Selection. A source's documents are dealt to shards by a seeded hash and stand in a shard in
-   the order of another; their words, one after another, are cut into blocks. With q blocks on a
-   quota of k the shard gives each block k div q times, and k mod q blocks, chosen by a seeded
-   permutation (an affine one, so that no list of blocks is needed), once more.
-A document gets the words of its part of the chosen blocks, as spans of word numbers.
-
-Scale. Only totals of sources and shards reach the driver: ``max_sources`` and ``max_shards`` rows
-at most. The words of a hot source lie in many shards. Highest quotients are found by bisection
-for the divisor, not one by one, so their number may be in the billions.
+   quotients of the shards' sizes, so that each shard has an integer quota. What a source's target
+   is above or below its blocks goes to its shards' last blocks, so that targets are met to a word.
+3. Selection. A source's documents are dealt to shards by a hash of id and text. In a shard they
+   stand in the order of a seeded hash, and a block is a run of whole documents: those that start
+   within the same ``block`` words. A quota takes all blocks as often as it holds the whole shard;
+   the rest of it is filled with blocks in the order of a second, keyed hash of their numbers (a
+   permutation, as equal hashes are told apart by number). Only the document at which a shard's
+   quota is full is cut, so texts stay whole but for one a shard.
+
+Scale. Ids and sizes are shuffled once; both orders are windows over the same shards, of
+``shard_words`` words or more, and the words of a hot source lie in many of them. Only totals of
+sources and shards reach the driver: ``max_sources`` and ``max_shards`` rows at most. Highest
+quotients are found by bisection for the divisor, not one by one, so their number may be in the billions.
 
 Cases: null and empty texts have size 0, take nothing and stay in the result. Null sources form
-one source, the last. Repeated rows are documents of their own. With no words at all targets are
-0. Sources above ``max_sources`` raise an error, since a mixture is given by source.
+one source, the last. Repeated rows are documents of their own; those of equal id and text may
+change places. With no words at all targets are 0. Sources above ``max_sources`` raise an error,
+since a mixture is given by source.
 """
 
 import heapq
 import math
+import re
 from typing import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, numbered, written
+from .common import WORD, rows_with_ids, written
 
 WEIGHTS = (5, 2, 1)
+#: Words of a block.
+BLOCK = 1000
 
 
 def source_targets(sizes: list[int], weights: list[float], epochs: int = 3) -> list[float]:
@@ -83,19 +90,31 @@ def sainte_lague(votes: list[float], seats: int, most: list[int] | None = None)
     return out
 
 
-def coprime_step(seed: int, blocks: int) -> int:
-    """A step of a permutation of ``blocks`` places: near the golden section of it, and without a common divisor."""
-    step = max(1, int(blocks * 0.6180339887) ^ (seed & 7)) % max(1, blocks) or 1
-    while math.gcd(step, blocks) != 1:
-        step = step % blocks + 1
-    return step
+def whole_words(targets: list[float], most: list[int]) -> list[int]:
+    """The targets as integers of the same sum: each rounded down, and one more for those of the largest remainders."""
+    out = [min(m, math.floor(t)) for t, m in zip(targets, most)]
+    left = round(sum(targets)) - sum(out)
+    for i in sorted(range(len(out)), key=lambda i: (out[i] - targets[i], i))[: max(0, left)]:
+        out[i] += out[i] < most[i]
+    return out
+
 
+def shard_quotas(words: int, blocks: int, sizes: list[int], block: int, epochs: int) -> list[int]:
+    """The words that each shard of a source gives: its blocks by highest quotients, and the remainder in the first shards that have room for it."""
+    out = [k * block for k in sainte_lague([float(n) for n in sizes], blocks, [epochs * n // block for n in sizes])]
+    left = words - sum(out)
+    for i, n in enumerate(sizes):
+        more = min(left, epochs * n - out[i]) if left > 0 else -min(-left, out[i])
+        out[i], left = out[i] + more, left - more
+    return out
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = 16, epochs: int = 3, shard_words: int = 1_000_000, max_shards: int = 8192, max_sources: int = 100_000, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of ``carry``, size, source_size, target, taken and spans (array of first word, words, times) for each row of ``docs``."""
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = BLOCK, epochs: int = 3, shard_words: int = 1_000_000, max_shards: int = 8192, max_sources: int = 100_000, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of ``carry``, size, source_size, target, taken, passes (how often the whole text is taken) and rest (words of its beginning that are taken once more) for each row of ``docs``."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = written(docs.select(F.col(key).alias("doc_id"), *carry, F.col(source).cast("string").alias("source"), size.alias("size")))
+    name = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
+    rows = written(docs.select(F.col(key).alias("doc_id"), *carry, F.col(source).cast("string").alias("source"), size.alias("size"), name.alias("name")))
     totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).limit(max_sources + 1).collect()
     if len(totals) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -109,69 +128,57 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
         "source string, place long, source_size long, target double, parts long",
     )
     dealt = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).drop("source")
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(name, "size", F.lit(seed)), "parts")).withColumn("turn", F.xxhash64(name, "size", F.lit(seed + 1)))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("name", F.lit(seed)), "parts"))
     shards = sorted(dealt.groupBy("place", "shard").agg(F.sum("size").alias("size")).collect())  # max_shards + max_sources rows at most
 
     by_source: dict[int, list[tuple[int, int]]] = {}
     for r in shards:
         if r["size"]:
             by_source.setdefault(r["place"], []).append((r["shard"], r["size"]))
-    blocks = {i: [-(-n // block) for _, n in by_source.get(i, [])] for i in range(len(totals))}
-    quotas = sainte_lague(targets, round(sum(sizes) / block), [epochs * sum(blocks[i]) for i in range(len(totals))])
+    words = whole_words(targets, [epochs * n for n in sizes])
     plan = []
-    for i, k in enumerate(quotas):
+    for i, k in enumerate(sainte_lague(targets, sum(sizes) // block, [epochs * n // block for n in sizes])):
         own = by_source.get(i, [])
-        for (shard, n), b, q in zip(own, blocks[i], sainte_lague([float(n) for _, n in own], k, [epochs * b for b in blocks[i]])):
-            plan.append((i, shard, b, q // b, q % b, coprime_step(seed + i * 31 + shard, b), (seed * 7919 + i * 104729 + shard * 1299709) % b))
-    quota = spark.createDataFrame(plan, "place long, shard long, blocks long, whole long, extra long, step long, start long")
-
-    order = Window.partitionBy("place", "shard").orderBy("turn", F.col("doc_id").asc_nulls_last(), "size")
-    placed = dealt.withColumn("until", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = placed.join(F.broadcast(quota), ["place", "shard"], "left").withColumn("since", F.col("until") - F.col("size"))
-    # Runs of a document's words in one block: first word in the document, words, times.
-    span = F.expr(
-        f"""filter(transform(sequence(since div {block}, (until - 1) div {block}), b -> named_struct(
-            'first', greatest(b * {block}, since) - since,
-            'words', least((b + 1) * {block}, until) - greatest(b * {block}, since),
-            'times', whole + if(pmod(b * step + start, blocks) < extra, 1L, 0L))), s -> s.times > 0)"""
-    )
-    none = F.expr("cast(array() as array<struct<first: bigint, words: bigint, times: bigint>>)")
-    placed = placed.withColumn("spans", F.when((F.col("size") > 0) & F.col("blocks").isNotNull(), span).otherwise(none))
-    taken = F.expr("aggregate(spans, 0L, (n, s) -> n + s.words * s.times)")
-    return placed.select("doc_id", *carry, "size", "source_size", "target", taken.alias("taken"), "spans")
-
-
-def _part(text: str | None, spans, times: int, word) -> str | None:
-    """The words of a text that the mix takes at least ``times`` times, or null if there are none: the whole text if it takes all, else its spans joined by a line feed."""
-    chosen = [(s["first"], s["words"]) for s in spans if s["times"] >= times]
-    if not chosen:
-        return None
-    places = [m.span() for m in word.finditer(text)]
-    if sum(n for _, n in chosen) == len(places):
-        return text
-    runs: list[list[int]] = []
-    for first, n in chosen:
-        if runs and runs[-1][1] == first:
-            runs[-1][1] = first + n
-        else:
-            runs.append([first, first + n])
-    return "\n".join(text[places[a][0] : places[b - 1][1]] for a, b in runs)
-
-
-def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", epochs: int = 3, **how) -> DataFrame:
-    """The mixture itself: rows of ``docs``, all columns, once for each pass (1 to ``epochs``) in which the mix takes words of them, ``text`` being the words of that pass."""
-    import re
-
-    copy, spans = "__quillmill_copy", "__quillmill_spans"
-    rows = numbered(docs, key, copy)
-    plan = mix(rows, text, source, key, epochs=epochs, carry=(copy,), **how).where("taken > 0").select(F.col("doc_id").alias("__quillmill_id"), F.col(copy).alias("__quillmill_nth"), F.col("spans").alias(spans))
-    met = rows.join(plan, rows[key].eqNullSafe(plan["__quillmill_id"]) & (rows[copy] == plan["__quillmill_nth"]))
-    word = re.compile(WORD)
-
-    @F.pandas_udf("array<string>")
-    def passes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, all_spans in batches:
-            yield pd.Series([[p for k in range(1, epochs + 1) if (p := _part(t, s, k, word)) is not None] for t, s in zip(texts, all_spans)], dtype=object)
-
-    return met.withColumn(text, F.explode(passes(F.col(text), F.col(spans)))).select(*docs.columns)
+        for (shard, n), quota in zip(own, shard_quotas(words[i], k, [n for _, n in own], block, epochs)):
+            plan.append((i, shard, quota // n, quota % n))
+    quotas = spark.createDataFrame(plan, "place long, shard long, whole long, extra long")
+
+    stand = [F.xxhash64("name", F.lit(seed + 1)), F.col("name"), F.col("doc_id").asc_nulls_last(), F.col("size"), *(F.col(c).asc_nulls_last() for c in carry)]
+    shard = Window.partitionBy("place", "shard")
+    before = lambda *order: F.sum("size").over(shard.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    placed = dealt.withColumn("block", F.floor(before(*stand) / block)).withColumn("turn", F.xxhash64("block", "place", "shard", F.lit(seed + 2)))
+    placed = placed.withColumn("since", before("turn", "block", *stand)).join(F.broadcast(quotas), ["place", "shard"], "left")
+    rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.col("since"))).cast("long")
+    some = F.col("size") > 0
+    placed = placed.withColumns({"passes": F.when(some, F.coalesce("whole", F.lit(0))).otherwise(0).cast("long"), "rest": F.when(some, F.coalesce(rest, F.lit(0))).otherwise(0).cast("long")})
+    return placed.select("doc_id", *carry, "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("rest")).alias("taken"), "passes", "rest")
+
+
+def first_words(text: str, n: int, word=re.compile(WORD)) -> str:
+    """The text up to the end of its ``n``-th word."""
+    end = 0
+    for k, m in enumerate(word.finditer(text), 1):
+        if k > n:
+            break
+        end = m.end()
+    return text[:end]
+
+
+def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **how) -> DataFrame:
+    """The mixture itself: rows of ``docs``, all columns, once for each pass in which the mix takes them; ``text`` is whole but for the one document a shard that is cut."""
+    rows, row = rows_with_ids(docs, key)
+    plan = mix(rows, text, source, row, **how).where("taken > 0").select(F.col("doc_id").alias("__quillmill_id"), F.col("passes").alias("__quillmill_passes"), F.col("rest").alias("__quillmill_rest"), (F.col("rest") == F.col("size")).alias("__quillmill_all"))
+    met = rows.join(plan, rows[row] == plan["__quillmill_id"])
+
+    @F.pandas_udf("string")
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, ns in batches:
+            yield pd.Series([None if t is None else first_words(t, int(n)) for t, n in zip(texts, ns)], dtype=object)
+
+    partly = (F.col("__quillmill_rest") > 0) & ~F.col("__quillmill_all")
+    # Only texts that are cut go to a Python worker.
+    met = met.withColumn("__quillmill_cut", cut(F.when(partly, F.col(text)), F.col("__quillmill_rest")))
+    times = (F.col("__quillmill_passes") + F.when(F.col("__quillmill_all"), 1).otherwise(0)).cast("int")
+    copies = F.concat(F.array_repeat(F.col(text), times), F.array_repeat(F.col("__quillmill_cut"), F.when(partly, 1).otherwise(0)))
+    out = met.withColumn("__quillmill_text", F.explode_outer(copies))
+    return out.select(*[F.col("__quillmill_text").alias(c) if c == text else rows[c] for c in docs.columns])
