@@ -1,24 +1,29 @@
 """Near-duplicate detection by BagMinHash signatures of word shingles.
 
 A document is the multiset of its shingles of five words (of all its words, if it has fewer).
-Weights, here counts, are discretised at the powers of two: a shingle of count w takes part in the
-Poisson processes of the weight ranges [0, 1), [1, 2), [2, 4), ... up to w. The process of a
-shingle and a range is the same in every document, has a rate of the range's width, and each of
-its points falls on a random slot of the signature and a random weight in the range; only points
-below w count. A slot keeps its earliest point. Points come in order of time, so a process stops
-once it is past the slowest slot. Two slots agree with a probability of the weighted Jaccard
-similarity, so the share of agreeing slots is an unbiased estimate of it.
+Weights are counts, discretised at the integers: a shingle of count w takes part in the Poisson
+processes of the weight ranges [0, 1), [1, 2), [2, 4), ... up to w. The process of a shingle and a
+range is the same in every document and has a rate of the range's width. It is a hierarchy: at
+each point a process splits into those of the two halves of its range, a fair coin says which half
+has the point, halves from w on are dropped, and a point counts when its range is one unit wide.
+It then falls on a random slot of the signature. A slot keeps its earliest point. Points come in
+order of time, so a process stops once it is past the slowest slot. Two slots agree with a
+probability of the weighted Jaccard similarity, so the share of agreeing slots estimates it without bias.
 
 Documents of equal multisets are first folded into one class. Bands of signature rows give the
 candidates; their estimate, then the exact multiset overlap, decides. In each band each class is
 compared with the least class of its bucket, and links are joined to components. Then, in buckets
-whose other members are still in several components, pairs of different components are verified,
-block by block, until they have met or all their candidates are tried, so that no candidate link
-between components is lost. Components are found on the cluster, by taking turns of linking to
-the least neighbour.
-
-Skew: copies fold by partial aggregation; the first comparison is linear in a bucket; the second
-sees only what is left, in blocks of ``block`` members, and returns a block's spanning links. Nothing of all documents reaches the driver.
+whose other members are still in several components, signatures of different components are
+compared block by block; members that have a likely partner there, and only those, are compared
+again with their contents, until components have met or all their candidates are tried, so that no
+candidate link between components is lost. Components are found on the cluster, by taking turns of
+linking to the least neighbour.
+
+Skew: copies fold by partial aggregation; the first comparison is linear in a bucket, and the rows
+of a bucket and of its star are dealt to ``SALTS`` parts. The second sees only what is left, in
+blocks of ``block`` members: of m such members each signature (256 bytes) goes to m / ``block``
+blocks, and contents only where signatures agree. A block returns its spanning links. Nothing of
+all documents reaches the driver.
 
 Cases: null texts and texts without words are in a class of their own. Documents with a null id
 link to nothing and have a null class. Rows that share an id each have a result row, with the class
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fields, written
+from .common import chunks, fields, rows_with_ids, written
 from .wordtable import WordTable, mixed, rolled
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -42,7 +47,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 SLOTS, BANDS, ROWS = 128, 25, 5
 #: Least share of agreeing slots for a closer look: 4.2 standard deviations below 0.8.
 ESTIMATE = 0.65
-_STEP = np.uint64(0xD1342543DE82EF95)
+_STEP, _LOW, _HIGH = np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
+#: Parts that the rows of one star, or of one bucket, are dealt to in joins.
+SALTS = 16
 
 
 def shingles(texts: list[str | None], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +87,10 @@ def counted(docs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def signatures(docs: np.ndarray, keys: np.ndarray, counts: np.ndarray, rows: int, slots: int = SLOTS) -> np.ndarray:
-    """A row of 16-bit slot values for each text; texts without shingles have zeros."""
-    # Processes: one for each shingle and weight range below its count.
+    """A row of 16-bit slot values for each text; texts without shingles have zeros.
+
+    A process has a range of weights (``width``, of which the count covers ``room``), the time it has
+    come to, and, if it came from a split, whether there is a point at that time (``due``)."""
     levels = np.maximum(0, np.ceil(np.log2(counts)).astype(np.int64)) if len(counts) else counts
     parts = [(np.arange(len(docs)), np.zeros(len(docs), dtype=np.int64))]
     for level in range(1, int(levels.max(initial=0)) + 1):
@@ -89,25 +98,41 @@ def signatures(docs: np.ndarray, keys: np.ndarray, counts: np.ndarray, rows: int
         parts.append((which, np.full(len(which), level)))
     of, level = (np.concatenate(x) for x in zip(*parts))
     doc, width = docs[of], np.left_shift(1, np.maximum(level - 1, 0))
-    room = counts[of] - np.where(level > 0, width, 0)  # weights of the range that the count covers
+    room = counts[of] - np.where(level > 0, width, 0)
     state = mixed(keys[of] + level.astype(np.uint64) * _STEP)
-    time = np.zeros(len(of))
+    time, due = np.zeros(len(of)), np.zeros(len(of), dtype=bool)
     best = np.full(rows * slots, np.iinfo(np.uint64).max, dtype=np.uint64)
     slowest = np.full(rows, np.inf)
     while len(doc):
-        state = mixed(state + _STEP)
+        state = np.where(due, state, mixed(state + _STEP))
         uniform = ((state >> np.uint64(40)).astype(np.float64) + 0.5) / (1 << 24)
-        time = time - np.log(uniform) / width
+        time = np.where(due, time, time - np.log(uniform) / width)
         alive = time < slowest[doc]
         doc, width, room, state, time = doc[alive], width[alive], room[alive], state[alive], time[alive]
         other = mixed(state ^ _STEP)
-        counts_in = (width == 1) | ((((other >> np.uint64(40)) * width.astype(np.uint64)) >> np.uint64(24)).astype(np.int64) < room)
+        single = width == 1
         # Earliest point: time in the high half (the bits of a positive float grow with it), identity in the low half.
         value = (time.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (other & np.uint64(0xFFFFFFFF))
         place = doc * slots + ((state & np.uint64(0xFFFFFF)) * np.uint64(slots) >> np.uint64(24)).astype(np.int64)
-        np.minimum.at(best, place[counts_in], value[counts_in])
+        np.minimum.at(best, place[single], value[single])
         late = (best.reshape(rows, slots) >> np.uint64(32)).max(axis=1).astype(np.uint32)
         slowest = np.where(late == 0xFFFFFFFF, np.inf, late.view(np.float32).astype(np.float64))
+        due = np.zeros(len(doc), dtype=bool)
+        if single.all():
+            continue
+        # Every wider process splits at its point, whatever the count, so that all texts see the same
+        # points: the half that holds the point has it due, and halves that no count reaches go.
+        wide = np.flatnonzero(~single)
+        half, upper = width[wide] >> 1, (other[wide] >> np.uint64(63)).astype(bool)
+        low, high = mixed(state[wide] ^ _LOW), mixed(state[wide] ^ _HIGH)
+        reached = room[wide] > half
+        up = wide[reached]
+        doc = np.concatenate([doc[single], doc[wide], doc[up]])
+        width = np.concatenate([width[single], half, half[reached]])
+        room = np.concatenate([room[single], room[wide], room[up] - half[reached]])
+        time = np.concatenate([time[single], time[wide], time[up]])
+        due = np.concatenate([due[single], ~upper, upper[reached]])
+        state = np.concatenate([state[single], low, high[reached]])
     out = (mixed(best & np.uint64(0xFFFFFFFF)) >> np.uint64(48)).astype("<u2").reshape(rows, slots)
     out[np.bincount(docs, minlength=rows) == 0] = 0
     return out
@@ -145,8 +170,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "bag", "sig"])
 
 
-def _bands(sigs: pd.Series) -> pd.Series:
-    return pd.Series(list(band_keys(np.frombuffer(b"".join(sigs), dtype="<u2").reshape(-1, SLOTS)))) if len(sigs) else pd.Series([], dtype=object)
+def _bands(bands: int, rows: int):
+    @F.pandas_udf("array<bigint>")
+    def keys(sigs: pd.Series) -> pd.Series:
+        return pd.Series(list(band_keys(np.frombuffer(b"".join(sigs), dtype="<u2").reshape(-1, SLOTS), bands, rows))) if len(sigs) else pd.Series([], dtype=object)
+
+    return keys
 
 
 def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -179,13 +208,13 @@ def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"bag": bag_digests(docs, keys, b - a), "content": [keys[i:j].astype("<u8").tobytes() for i, j in zip(starts, ends)]}).dropna()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, root: the least node of the component of each linked node. ``links``: columns a, b.
 
     Large-star and small-star steps in turn: each node's greater neighbours, then its lesser ones,
     link to its least neighbour; after few rounds every component is a star around its least node."""
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    for _ in range(most_rounds):
+    while True:  # ends: each round links nodes to lesser ones or changes nothing
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -195,8 +224,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
             break
         edges = new
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -209,9 +236,13 @@ class _Linker:
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose signatures agree often enough."""
         agreement = F.pandas_udf(_agreement, "double")
-        sig = self.classes.select("bag", "sig")
-        met = pairs.join(sig.select(F.col("bag").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("bag").alias("b"), F.col("sig").alias("sb")), "b")
-        return met.where(agreement("sa", "sb") >= self.estimate).select("a", "b")
+        return self._met(pairs, self.classes.select("bag", F.col("sig").alias("value"))).where(agreement("va", "vb") >= self.estimate).select("a", "b")
+
+    def _met(self, pairs: DataFrame, values: DataFrame) -> DataFrame:
+        """Pairs with the values (columns bag, value) of both. Many pairs may share their star b, so its value is first put to each part of its pairs."""
+        pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+        stars = pairs.select("b", "salt").distinct().join(values.select(F.col("bag").alias("b"), F.col("value").alias("vb")), "b")
+        return pairs.join(values.select(F.col("bag").alias("a"), F.col("value").alias("va")), "a").join(stars, ["b", "salt"])
 
     def contents(self, bags: DataFrame) -> DataFrame:
         """bag, content (all shingle hashes, sorted) of the given classes, from the text of one document each."""
@@ -226,8 +257,39 @@ class _Linker:
         pairs = written(pairs)
         contents = self.contents(pairs.select(F.col("a").alias("bag")).union(pairs.select("b")).distinct())
         overlap = F.pandas_udf(_overlap, "double")
-        met = pairs.join(contents.select(F.col("bag").alias("a"), F.col("content").alias("ca")), "a").join(contents.select(F.col("bag").alias("b"), F.col("content").alias("cb")), "b")
-        return written(met.where(overlap("ca", "cb") >= self.least).select("a", "b"))
+        met = self._met(pairs, contents.select("bag", F.col("content").alias("value")))
+        return written(met.where(overlap("va", "vb") >= self.least).select("a", "b"))
+
+
+def _likely_apart(group: pd.DataFrame, estimate: float) -> pd.DataFrame:
+    """The members of one block of a bucket that have a likely partner of another component there."""
+    sig = np.frombuffer(b"".join(group["sig"]), dtype="<u2").reshape(-1, SLOTS)
+    start, side = pd.factorize(group["root"].map(bytes))[0], group["side"].to_numpy()
+    own = bool((group["x"] == group["y"]).all())
+    likely = np.zeros(len(sig), dtype=bool)
+    for i in range(len(sig)) if own else np.flatnonzero(side == 0):
+        others = np.arange(i + 1, len(sig)) if own else np.flatnonzero(side == 1)
+        others = others[start[others] != start[i]]
+        near = others[(sig[others] == sig[i]).mean(axis=1) >= estimate]
+        likely[near] = True
+        likely[i] |= len(near) > 0
+    return pd.DataFrame({"bucket": group["bucket"][likely], "bag": group["bag"][likely]})
+
+
+def _in_blocks(rest: DataFrame, block: int, *values: str) -> DataFrame:
+    """Rows of bucket, bag, root and ``values`` in each pair of blocks (x, y) of their bucket, of about ``block`` members each."""
+    parts = rest.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    dealt = _salted(rest, parts).withColumn("own", F.pmod(F.xxhash64("bag", F.lit(5)), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    return dealt.select(
+        "bucket", "bag", "root", *values, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")
+    )
+
+
+def _salted(rows: DataFrame, of_bucket: DataFrame) -> DataFrame:
+    """``rows`` (with bag and bucket) joined with one row a bucket; a bucket's rows are dealt to ``SALTS`` tasks."""
+    salts = F.explode(F.array(*(F.lit(k) for k in range(SALTS))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("bag"), F.lit(SALTS)).cast("int")).join(of_bucket.withColumn("salt", salts), ["bucket", "salt"]).drop("salt")
 
 
 def _links_apart(group: pd.DataFrame, estimate: float, least: float) -> pd.DataFrame:
@@ -265,31 +327,27 @@ def _links_apart(group: pd.DataFrame, estimate: float, least: float) -> pd.DataF
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY, estimate: float = ESTIMATE, block: int = 1000) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY, estimate: float = ESTIMATE, block: int = 1000, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id for each row of ``docs``; class_id is the least id of the component."""
     described = written(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_describe, fields("doc_id long, bag binary, sig binary")))
     known = described.where("doc_id is not null and bag is not null")
     classes = written(known.groupBy("bag").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")))
-    bands = F.pandas_udf(_bands, "array<bigint>")
-    banded = written(classes.select("bag", F.explode(bands("sig")).alias("bucket")))
+    banded = written(classes.select("bag", F.explode(_bands(bands, rows)("sig")).alias("bucket")))
     shared = banded.groupBy("bucket").agg(F.min("bag").alias("star"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(banded.join(shared, "bucket"))
+    members = written(_salted(banded, shared))
     linker = _Linker(docs, text, key, classes, estimate, least)
     links = linker.verified(linker.likely(members.where("bag <> star").select(F.col("bag").alias("a"), F.col("star").alias("b")).distinct()))
     roots = written(components(links))
 
     # What the first comparison leaves open: buckets with members, besides the star, in several components.
-    rest = members.where("bag <> star and n > 2").join(roots.withColumnRenamed("node", "bag"), "bag", "left").withColumn("root", F.coalesce("root", "bag"))
-    mixed_up = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
-    rest = rest.select("bucket", "bag", "root").join(mixed_up.select("bucket", F.ceil(F.col("m") / block).cast("int").alias("parts")), "bucket")
+    rest = members.where("bag <> star and n > 2").select("bucket", "bag").join(roots.withColumnRenamed("node", "bag"), "bag", "left").withColumn("root", F.coalesce("root", "bag"))
     rest = written(rest)
+    mixed_up = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    rest = written(_salted(rest, mixed_up).join(classes.select("bag", "sig"), "bag"))
     if not rest.isEmpty():
-        contents = linker.contents(rest.select("bag").distinct())
-        rest = rest.join(classes.select("bag", "sig"), "bag").join(contents, "bag").withColumn("own", F.pmod(F.xxhash64("bag", F.lit(5)), F.col("parts")).cast("int"))
-        rest = rest.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select(
-            "bucket", "bag", "root", "sig", "content", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")
-        )
-        more = written(rest.groupBy("bucket", "x", "y").applyInPandas(lambda g: _links_apart(g, estimate, least), fields("a binary, b binary")))
+        likely = written(_in_blocks(rest, block, "sig").groupBy("bucket", "x", "y").applyInPandas(lambda g: _likely_apart(g, estimate), fields("bucket long, bag binary")).distinct())
+        rest = rest.join(likely, ["bucket", "bag"], "left_semi").join(linker.contents(likely.select("bag").distinct()), "bag")
+        more = written(_in_blocks(rest, block, "sig", "content").groupBy("bucket", "x", "y").applyInPandas(lambda g: _links_apart(g, estimate, least), fields("a binary, b binary")))
         if not more.isEmpty():
             roots = written(components(links.unionByName(more)))
 
@@ -302,11 +360,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
 
 def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs``, all columns, of which one stays for each class (that of the least id; null ids come last). Rows that share an id, or have none, are compared like others."""
-    row = "__quillmill_row"
-    if docs.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).isEmpty():
-        kept = near_duplicates(docs, text, key, **how).where("doc_id = class_id").select(F.col("doc_id").alias(row))
-        return docs.join(kept, F.col(key) == F.col(row), "left_semi")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    rows, row = rows_with_ids(docs, key)
+    classes = near_duplicates(rows, text, row, **how)
+    if row == key:
+        kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("__quillmill_kept"))
+        return docs.join(kept, F.col(key) == F.col("__quillmill_kept"), "left_semi")
     ids = rows.select(F.col(row).alias("doc_id"), F.col(key).isNull().alias("last"), F.col(key).alias("id"))
-    best = near_duplicates(rows, text, row, **how).join(ids, "doc_id").groupBy("class_id").agg(F.min(F.struct("last", "id", "doc_id")).alias("best"))
+    best = classes.join(ids, "doc_id").groupBy("class_id").agg(F.min(F.struct("last", "id", "doc_id")).alias("best"))
     return rows.join(best.select(F.col("best.doc_id").alias(row)), row, "left_semi").select(*docs.columns)

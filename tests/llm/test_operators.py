@@ -463,6 +463,19 @@ def test_near_duplicates_equal_brute_force(spark, block):
     assert kept == {c for c in got.values()}
 
 
+def test_a_bucket_of_unlike_members(spark, monkeypatch):
+    """A band without rows puts all members in one bucket; no two alike but a few: signatures alone meet, and no link is lost."""
+    texts = [" ".join(f"{random.random():.9f}" for _ in range(12)) for _ in range(5000)]
+    texts += [texts[i] + " tail" for i in (10, 20, 30)] + [texts[40] + " one", texts[40] + " two"]
+    sent = []
+    contents = B._Linker.contents
+    monkeypatch.setattr(B._Linker, "contents", lambda self, bags: sent.append(bags.count()) or contents(self, bags))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in B.near_duplicates(docs, bands=1, rows=0).collect()}
+    assert got == {i: i for i in range(5000)} | {5000: 10, 5001: 20, 5002: 30, 5003: 40, 5004: 40}
+    assert sent[-1] <= 20
+
+
 def test_signature_is_unbiased():
     rng = np.random.default_rng(2)
     errors = []
@@ -475,6 +488,14 @@ def test_signature_is_unbiased():
     assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.06
 
 
+@pytest.mark.parametrize("a,b", [(1, 7), (5, 9), (33, 63), (64, 65), (1000, 1300)])
+def test_signature_of_one_shingle_of_two_counts(a, b):
+    keys = np.random.default_rng(a).integers(0, 2**63, 400).astype(np.uint64)
+    rows, ones = np.arange(400), np.ones(400, dtype=np.int64)
+    x, y = (B.signatures(rows, keys, ones * n, 400) for n in (a, b))
+    assert abs((x == y).mean() - a / b) < 0.015
+
+
 # --- 9 -----------------------------------------------------------------------------------------
 
 
