@@ -185,13 +185,16 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
+def overlap(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two multisets: sorted values and their counts."""
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = int(np.minimum(nx[at], ny)[x[at] == y].sum())
+    return both / (int(nx.sum()) + int(ny.sum()) - both)
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two sorted multisets."""
-    x, nx = np.unique(a, return_counts=True)
-    y, ny = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    both = int(np.minimum(nx[i], ny[j]).sum())
-    return both / (len(a) + len(b) - both)
+    """Of two multisets given as sorted values with repeats."""
+    return overlap(*np.unique(a, return_counts=True), *np.unique(b, return_counts=True))
 
 
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -256,26 +259,72 @@ class _Linker:
         """Those of the pairs whose multisets overlap enough."""
         pairs = written(pairs)
         contents = self.contents(pairs.select(F.col("a").alias("bag")).union(pairs.select("b")).distinct())
-        overlap = F.pandas_udf(_overlap, "double")
+        share = F.pandas_udf(_overlap, "double")
         met = self._met(pairs, contents.select("bag", F.col("content").alias("value")))
-        return written(met.where(overlap("va", "vb") >= self.least).select("a", "b"))
-
-
-def _likely_apart(group: pd.DataFrame, estimate: float) -> pd.DataFrame:
-    """The members of one block of a bucket that have a likely partner of another component there."""
-    sig = np.frombuffer(b"".join(group["sig"]), dtype="<u2").reshape(-1, SLOTS)
-    start, side = pd.factorize(group["root"].map(bytes))[0], group["side"].to_numpy()
-    own = bool((group["x"] == group["y"]).all())
-    likely = np.zeros(len(sig), dtype=bool)
-    for i in range(len(sig)) if own else np.flatnonzero(side == 0):
-        others = np.arange(i + 1, len(sig)) if own else np.flatnonzero(side == 1)
-        others = others[start[others] != start[i]]
-        near = others[(sig[others] == sig[i]).mean(axis=1) >= estimate]
-        likely[near] = True
-        likely[i] |= len(near) > 0
+        return written(met.where(share("va", "vb") >= self.least).select("a", "b"))
+
+
+class _Block:
+    """One pair of blocks (x, y) of a bucket: which members are to be compared there."""
+
+    def __init__(self, group: pd.DataFrame, bands: int, rows: int):
+        self.sig = np.frombuffer(b"".join(group["sig"]), dtype="<u2").reshape(-1, SLOTS)
+        self.start, self.side = pd.factorize(group["root"].map(bytes))[0], group["side"].to_numpy()
+        self.own = bool((group["x"] == group["y"]).all())
+        self.keys = band_keys(self.sig, bands, rows)
+        self.band = int(np.flatnonzero(self.keys[0] == group["bucket"].iloc[0])[0])
+
+    def partners(self, estimate: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member with those of other components that agree often enough, the likeliest first. A pair
+        that shares several buckets is compared in that of the first shared band alone; if one of the
+        two is that bucket's star, they have been compared before."""
+        for i in range(len(self.sig)) if self.own else np.flatnonzero(self.side == 0):
+            others = np.arange(i + 1, len(self.sig)) if self.own else np.flatnonzero(self.side == 1)
+            others = others[self.start[others] != self.start[i]]
+            others = others[~(self.keys[others, : self.band] == self.keys[i, : self.band]).any(axis=1)]
+            agreement = (self.sig[others] == self.sig[i]).mean(axis=1)
+            order = np.argsort(-agreement, kind="stable")
+            yield i, others[order[agreement[order] >= estimate]]
+
+
+def _likely_apart(group: pd.DataFrame, estimate: float, bands: int, rows: int) -> pd.DataFrame:
+    """The members of one block that have a likely partner of another component there."""
+    likely = np.zeros(len(group), dtype=bool)
+    for i, others in _Block(group, bands, rows).partners(estimate):
+        likely[others] = True
+        likely[i] |= len(others) > 0
     return pd.DataFrame({"bucket": group["bucket"][likely], "bag": group["bag"][likely]})
 
 
+def _links_apart(group: pd.DataFrame, estimate: float, least: float, bands: int, rows: int) -> pd.DataFrame:
+    """Links between different components in one block: likely pairs are verified, unless their
+    components have met meanwhile. So a block returns fewer links than it has members, and none is lost."""
+    block = _Block(group, bands, rows)
+    bag = [bytes(x) for x in group["bag"]]
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    parent = list(range(int(block.start.max()) + 1))
+
+    def bag_of(i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in held:
+            held[i] = np.unique(np.frombuffer(group["content"].iloc[i], dtype="<u8"), return_counts=True)
+        return held[i]
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, others in block.partners(estimate):
+        for j in others:
+            a, b = find(block.start[i]), find(block.start[j])
+            if a != b and overlap(*bag_of(i), *bag_of(j)) >= least:
+                parent[a] = b
+                out.append((bag[i], bag[j]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
 def _in_blocks(rest: DataFrame, block: int, *values: str) -> DataFrame:
     """Rows of bucket, bag, root and ``values`` in each pair of blocks (x, y) of their bucket, of about ``block`` members each."""
     parts = rest.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
@@ -292,41 +341,6 @@ def _salted(rows: DataFrame, of_bucket: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("bag"), F.lit(SALTS)).cast("int")).join(of_bucket.withColumn("salt", salts), ["bucket", "salt"]).drop("salt")
 
 
-def _links_apart(group: pd.DataFrame, estimate: float, least: float) -> pd.DataFrame:
-    """Links between different components in one block of a bucket: candidates whose signatures
-    agree often enough are verified, the likeliest first, unless their components have met
-    meanwhile. So a block returns fewer links than it has members, and none is lost."""
-    sig = np.frombuffer(b"".join(group["sig"]), dtype="<u2").reshape(-1, SLOTS)
-    bag = [bytes(x) for x in group["bag"]]
-    content = [np.frombuffer(x, dtype="<u8") for x in group["content"]]
-    start, side = pd.factorize(group["root"].map(bytes))[0], group["side"].to_numpy()
-    parent = list(range(int(start.max()) + 1))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    own = bool((group["x"] == group["y"]).all())
-    out = []
-    for i in range(len(bag)):
-        if not own and side[i] != 0:
-            continue
-        others = np.arange(i + 1, len(bag)) if own else np.flatnonzero(side == 1)
-        others = others[start[others] != start[i]]
-        agreement = (sig[others] == sig[i]).mean(axis=1)
-        for at in np.argsort(-agreement, kind="stable"):
-            if agreement[at] < estimate:
-                break
-            j = others[at]
-            a, b = find(start[i]), find(start[j])
-            if a != b and similarity(content[i], content[j]) >= least:
-                parent[a] = b
-                out.append((bag[i], bag[j]))
-    return pd.DataFrame(out, columns=["a", "b"])
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY, estimate: float = ESTIMATE, block: int = 1000, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id for each row of ``docs``; class_id is the least id of the component."""
     described = written(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_describe, fields("doc_id long, bag binary, sig binary")))
@@ -345,9 +359,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     mixed_up = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
     rest = written(_salted(rest, mixed_up).join(classes.select("bag", "sig"), "bag"))
     if not rest.isEmpty():
-        likely = written(_in_blocks(rest, block, "sig").groupBy("bucket", "x", "y").applyInPandas(lambda g: _likely_apart(g, estimate), fields("bucket long, bag binary")).distinct())
+        likely = written(_in_blocks(rest, block, "sig").groupBy("bucket", "x", "y").applyInPandas(lambda g: _likely_apart(g, estimate, bands, rows), fields("bucket long, bag binary")).distinct())
         rest = rest.join(likely, ["bucket", "bag"], "left_semi").join(linker.contents(likely.select("bag").distinct()), "bag")
-        more = written(_in_blocks(rest, block, "sig", "content").groupBy("bucket", "x", "y").applyInPandas(lambda g: _links_apart(g, estimate, least), fields("a binary, b binary")))
+        more = written(_in_blocks(rest, block, "sig", "content").groupBy("bucket", "x", "y").applyInPandas(lambda g: _links_apart(g, estimate, least, bands, rows), fields("a binary, b binary")))
         if not more.isEmpty():
             roots = written(components(links.unionByName(more)))
 
