@@ -6,10 +6,13 @@ A word is split at its certain cuts, each fragment is merged on its own (and kep
 cache), and the ids are concatenated; the result equals that of merging the whole word.
 
 Cases: null text is the empty text and has no tokens. Ids that the vocabulary lacks are an
-error in ``decode``, as they are no output of ``encode``. Texts are never cut short.
+error in ``decode``, as they are no output of ``encode``. Texts are never cut short, and a word of any
+length takes n log n steps. Files with a decoder, dropout, byte fallback, a prefix of inner pieces or
+``ignore_merges`` are refused.
 """
 
 import hashlib
+import heapq
 import json
 import re
 from typing import Iterator
@@ -23,6 +26,8 @@ from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 #: Entries after which a worker's caches of words and of fragments start anew.
 CACHE_WORDS, CACHE_FRAGMENTS = 100_000, 50_000
+#: Longest word or fragment that is kept there, so that entries bound the memory.
+LONG = 64
 
 
 def byte_letters() -> list[str]:
@@ -45,6 +50,9 @@ class BoundaryBPE:
     def __init__(self, file: bytes):
         spec = json.loads(file)
         model = spec["model"]
+        unknown = [k for k in ("dropout", "byte_fallback", "continuing_subword_prefix", "ignore_merges") if model.get(k)] + [k for k in ("decoder",) if spec.get(k)]
+        if unknown or model.get("type", "BPE") != "BPE" or not model.get("end_of_word_suffix"):
+            raise ValueError(f"not a vocabulary file of this kind: {', '.join(unknown) or model.get('type')}")
         self.end = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -79,23 +87,27 @@ class BoundaryBPE:
         return together
 
     def _merged(self, ids: tuple[int, ...]) -> list[int]:
-        """Merge one fragment: always the pair of the lowest rank, the leftmost first."""
-        out = list(ids)
-        while len(out) > 1:
-            best = min((self.merges.get(p, (1 << 60, 0)) for p in zip(out, out[1:])), default=(1 << 60, 0))
-            if best[0] == 1 << 60:
-                break
-            rank, whole = best
-            i, into = 0, []
-            while i < len(out):
-                if i + 1 < len(out) and self.merges.get((out[i], out[i + 1]), (-1, 0))[0] == rank:
-                    into.append(whole)
-                    i += 2
-                else:
-                    into.append(out[i])
-                    i += 1
-            out = into
-        return out
+        """Merge one fragment: always the pair of the lowest rank, the leftmost first. Pairs wait in a
+        heap and symbols are a linked list, so a fragment of n symbols takes n log n steps."""
+        out, merges = list(ids), self.merges
+        n = len(out)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(merges[p][0], i, p) for i, p in enumerate(zip(out, out[1:])) if p in merges]
+        heapq.heapify(queue)
+        while queue:
+            _, i, pair = heapq.heappop(queue)
+            j = after[i]
+            if j >= n or (out[i], out[j]) != pair:  # one of the two has merged meanwhile
+                continue
+            out[i], out[j] = merges[pair][1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (found := merges.get((out[i], out[k]))) is not None:
+                    heapq.heappush(queue, (found[0], i, (out[i], out[k])))
+            if (h := before[i]) >= 0 and (found := merges.get((out[h], out[i]))) is not None:
+                heapq.heappush(queue, (found[0], h, (out[h], out[i])))
+        return [x for x in out if x >= 0]
 
     def _word(self, word: str) -> list[int]:
         data = word.encode("utf-8", "surrogatepass")
@@ -107,9 +119,11 @@ class BoundaryBPE:
                 fragment = tuple(self.inner[s] if s < 256 else self.final[s - 256] for s in symbols[start:i])
                 found = self.fragments.get(fragment)
                 if found is None:
-                    if len(self.fragments) > self.most_fragments:
-                        self.fragments.clear()
-                    found = self.fragments[fragment] = self._merged(fragment)
+                    found = self._merged(fragment)
+                    if len(fragment) <= LONG:
+                        if len(self.fragments) > self.most_fragments:
+                            self.fragments.clear()
+                        self.fragments[fragment] = found
                 ids += found
                 start = i
         return ids
@@ -140,6 +154,9 @@ class BoundaryBPE:
                 ids = [self.special[w]] if w in self.special else self._word(w)
                 known[w] = (np.array(ids, dtype="<u4").tobytes(), " ".join(map(self.tokens.__getitem__, ids)), len(ids))
         got = list(map(known.__getitem__, words))
+        for w in new:
+            if len(w) > LONG:
+                del known[w]
         return [g[0] for g in got], [g[1] for g in got], sum(g[2] for g in got)
 
     def encode(self, text: str | None) -> list[int]:

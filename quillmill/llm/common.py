@@ -28,23 +28,47 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the session names none: one of our own."""
+    """The folder that all executors share, as the session names it. A local session without one gets a folder of its own; a cluster's is never a machine's temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillmill-")
         atexit.register(shutil.rmtree, path[len("file://"):], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors. ``discard`` deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmill-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A place in the order of tables that ``written`` made, for ``discard``."""
+    return len(_WRITTEN)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the tables that ``written`` made after ``since``, but those that ``keep`` reads. For results that are saved: what reads a deleted table fails."""
+    kept = {f.rsplit("/", 1)[0].split("quillmill-")[-1].split("/")[0] for f in keep.inputFiles()} if keep is not None else set()
+    left = []
+    for path in _WRITTEN[since:]:
+        if path.split("quillmill-")[-1] in kept:
+            left.append(path)
+            continue
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN[since:] = left
+
+
 def rows_with_ids(df: DataFrame, key: str) -> tuple[DataFrame, str]:
     """``df`` and the name of a column that names its rows: ``key`` itself where its values are
     distinct and there are no nulls, as should be; else a number that is written beside the rows."""

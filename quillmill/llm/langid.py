@@ -3,12 +3,12 @@
 Fitting. Document frequencies are counted over all rows that may be learnt from. The regression
 is trained by follow-the-regularised-leader (proximal, one rate per weight) with L1 and L2
 penalties, on a sample with a documented bound: about ``per_language`` rows of each of the
-``max_languages`` most frequent languages, chosen by a hash of the id. A fifth of the sample is
+``max_languages`` most frequent languages, and ``max_rows`` in all, chosen by a hash of the id. A fifth of the sample is
 kept aside to fit the temperature that calibrates the probabilities.
 
 Cases: null texts and texts without a letter get ``und`` with score 0; so does every text if
 nothing could be learnt (empty table, no labels). With one learnt language, that one has score 1.
-Whole texts are used, however long. Repeated rows are predicted alike. Only the given text column
+Of equal probabilities the language that sorts first wins. Whole texts are used, however long. Repeated rows are predicted alike. Only the given text column
 is read for a prediction.
 """
 
@@ -125,15 +125,16 @@ def document_frequencies(texts: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return df[:DIMS], int(df[DIMS])
 
 
-def language_sample(rows: DataFrame, text: str, label: str, key: str, per_language: int, max_languages: int) -> DataFrame:
-    """About ``per_language`` rows of each language, by a hash of the key: columns label, text."""
-    sizes = rows.groupBy(F.col(label).alias("label")).count().orderBy(F.desc("count"), "label").limit(max_languages)
-    share = sizes.select("label", (F.lit(float(per_language)) / F.col("count")).alias("share"))
+def language_sample(rows: DataFrame, text: str, label: str, key: str, per_language: int, max_languages: int, max_rows: int) -> DataFrame:
+    """About ``per_language`` rows of each language, fewer if there are so many languages that ``max_rows`` would be passed, by a hash of the key: columns label, text."""
+    sizes = rows.groupBy(F.col(label).alias("label")).count().orderBy(F.desc("count"), "label").limit(max_languages).collect()
+    each = min(per_language, max(1, max_rows // max(1, len(sizes))))
+    share = rows.sparkSession.createDataFrame([(r["label"], each / r["count"]) for r in sizes], "label string, share double")
     picked = rows.select(F.col(label).alias("label"), F.col(text).alias("text"), fraction_of(F.col(key).cast("string"), F.lit("language")).alias("u"))
     return picked.join(F.broadcast(share), "label").where("u < share").select("label", "u", "text")  # max_languages rows are broadcast
 
 
-def fit_language_model(rows: DataFrame, text: str, label: str, key: str, per_language: int = 700, max_languages: int = 300, epochs: int = 3) -> LanguageModel:
+def fit_language_model(rows: DataFrame, text: str, label: str, key: str, per_language: int = 700, max_languages: int = 300, max_rows: int = 12_000, epochs: int = 3) -> LanguageModel:
     """Learn from all ``rows`` with text and label; ``key`` only picks the sample."""
     rows = rows.where(F.col(text).isNotNull() & F.col(label).isNotNull())
     df, n = document_frequencies(rows, text)
@@ -142,22 +143,23 @@ def fit_language_model(rows: DataFrame, text: str, label: str, key: str, per_lan
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [ngram_counts(t) for t in b["text"]]
-            yield pd.DataFrame({"label": b["label"], "u": b["u"], "places": [w.astype("<u2").tobytes() for w, _ in got], "counts": [np.minimum(c, 65535).astype("<u2").tobytes() for _, c in got]})
+            yield pd.DataFrame({"label": b["label"], "u": b["u"], "places": [w.astype("<u2").tobytes() for w, _ in got], "counts": [c.astype("<u4").tobytes() for _, c in got]})
 
-    sample = language_sample(rows, text, label, key, per_language, max_languages)
+    sample = language_sample(rows, text, label, key, per_language, max_languages, max_rows)
     got = sorted(sample.mapInPandas(features, "label string, u double, places binary, counts binary").collect(), key=lambda r: (r.u, r.label, bytes(r.places)))
     languages = sorted({r.label for r in got})
     place = {x: i for i, x in enumerate(languages)}
-    xs = [(w, tfidf(w, np.frombuffer(r.counts, "<u2").astype(np.int64), idf)) for r in got for w in [np.frombuffer(r.places, "<u2").astype(np.int64)]]
+    # Places and counts stay as they came (6 bytes an n-gram); values are made when a row is learnt from.
+    xs = lambda i: (lambda w: (w, tfidf(w, np.frombuffer(got[i].counts, "<u4").astype(np.int64), idf)))(np.frombuffer(got[i].places, "<u2").astype(np.int64))
     ys = np.array([place[r.label] for r in got], dtype=np.int64)
     aside = np.arange(len(ys)) % 5 == 4
     model = FTRL(max(1, len(languages)), DIMS)
     for _ in range(epochs):
         for i in np.flatnonzero(~aside):
-            model.learn(*xs[i], ys[i])
+            model.learn(*xs(i), ys[i])
     w = model.weights()
     held = np.flatnonzero(aside)
-    logits = np.array([w[:, xs[i][0]] @ xs[i][1] for i in held]).T if len(held) else np.zeros((len(languages), 0))
+    logits = np.array([w[:, at] @ v for at, v in map(xs, held)]).T if len(held) else np.zeros((len(languages), 0))
     return LanguageModel(languages, idf, w[: len(languages)], best_temperature(logits, ys[held]))
 
 

@@ -4,7 +4,8 @@ A ``LineRuns`` store keeps, for each line key ever seen, the number of documents
 the largest id among them. It consists of runs: tables bucketed and sorted by the 128-bit hash of
 the key. Adding a batch of lines: the batch is aggregated by key and merge-anti-joined with every
 run; keys that no run has become a new run of level 0, increments for known keys go to an
-increments run. When a level holds ``fanout`` runs they are merged into one of the next level.
+increments run. When a level holds ``fanout`` runs they are merged into one of the next level, and
+so are as many increments into one.
 Runs have distinct keys, so compaction only merges. Runs and batches have equal buckets, so these
 joins need no shuffle of the runs.
 
@@ -13,7 +14,8 @@ counts add up), feeds them to a store, and drops the lines of keys found in ``mi
 except in the largest id that holds them.
 
 Skew: lines go through partial aggregation before the shuffle, so a line that a third of all
-documents hold is a row a task. Texts are shuffled once, by id, to meet their dropped keys.
+documents hold is a row a task; where documents meet the frequent keys, such a line's rows are dealt
+to ``SALTS`` tasks. Texts are shuffled once, by id, to meet their dropped keys.
 
 Cases: null and empty texts are one empty line. A key that a document has several times counts
 once. Rows that share an id are one document; so are rows with a null id, which is the least of
@@ -21,6 +23,7 @@ ids. Keys of under ``min_length`` code points always stay. Hashes have 128 bits.
 """
 
 import hashlib
+import json
 import uuid
 from functools import reduce
 from typing import Iterator
@@ -37,6 +40,8 @@ from .common import fields, written
 #: The characters stripped at both ends of a line.
 STRIPPED = b"\x20\x09\x0a\x0b\x0c\x0d"
 _HASHES = ["h1", "h2"]
+#: Tasks that the documents of one frequent line are dealt to.
+SALTS = 16
 
 
 def line_key(line: str) -> bytes:
@@ -72,16 +77,37 @@ def _line_rows(min_length: int):
 
 
 class LineRuns:
-    """The store. Its tables have names of their own in the session's warehouse; ``drop`` removes them."""
+    """The store. Its tables lie in the database that is current when it is made.
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 3):
-        self.spark, self.fanout = spark, fanout
+    With a ``name`` it lasts: a table of that name holds a manifest, one row for each state, written
+    after the state's tables; a store of that name opens at the last one, and tables that a lost
+    driver left beside it are dropped. Without one it is dropped with ``drop``, as by leaving a ``with``."""
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 3, name: str | None = None):
+        self.spark, self.fanout, self.name = spark, fanout, name
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.database = spark.catalog.currentDatabase()
+        self.prefix = f"quillmill_run_{name or uuid.uuid4().hex}_"
+        self.manifest = f"{self.database}.quillmill_store_{name}" if name else None
         self.levels: list[list[str]] = [[]]
         self.increments: list[str] = []
+        self.version = 0
+        if self.manifest and spark.catalog.tableExists(self.manifest):
+            last = spark.table(self.manifest).orderBy(F.desc("version")).first()
+            if last:
+                self.version, state = last["version"], json.loads(last["state"])
+                self.levels, self.increments, self.buckets = state["levels"], state["increments"], state["buckets"]
+            self._sweep()
+
+    def __enter__(self) -> "LineRuns":
+        return self
+
+    def __exit__(self, *_) -> None:
+        if not self.name:
+            self.drop()
 
     def _save(self, df: DataFrame) -> str:
-        name = f"quillmill_run_{uuid.uuid4().hex}"
+        name = f"{self.database}.{self.prefix}{uuid.uuid4().hex}"
         df.write.bucketBy(self.buckets, *_HASHES).sortBy(*_HASHES).format("parquet").saveAsTable(name)
         return name
 
@@ -89,39 +115,59 @@ class LineRuns:
     def runs(self) -> list[str]:
         return [name for level in self.levels for name in level]
 
+    def _sweep(self) -> None:
+        """Drop the store's tables that its state does not name."""
+        known = {n.split(".")[-1] for n in (*self.runs, *self.increments)}
+        for t in self.spark.catalog.listTables(self.database, f"{self.prefix}*"):
+            if t.name not in known:
+                self._drop(f"{self.database}.{t.name}")
+
     def add(self, lines: DataFrame) -> None:
-        """``lines``: h1, h2, doc_id, one row for each key of each document, of documents that no earlier batch held."""
+        """``lines``: h1, h2, doc_id, one row for each key of each document, of documents that no earlier
+        batch held. Old tables are dropped once the new state is written; if a step fails, the state stays."""
         batch = lines.groupBy(*_HASHES).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).repartition(self.buckets, *_HASHES)
-        if not self.runs:
-            self.levels[0].append(self._save(batch))
-            return
-        whole = self._save(batch)
-        fresh = self.spark.table(whole)
-        for name in self.runs:
-            fresh = fresh.join(self.spark.table(name).select(*_HASHES), _HASHES, "left_anti")
-        new = self._save(fresh)
-        known = self._save(self.spark.table(whole).join(self.spark.table(new).select(*_HASHES), _HASHES, "left_anti"))
-        self._drop(whole)
-        self.levels[0].append(new)
-        self.increments.append(known)
-        self._compact()
-
-    def _compact(self) -> None:
+        levels, increments = [list(x) for x in self.levels], list(self.increments)
+        try:
+            whole = self._save(batch)
+            if not self.runs:
+                levels[0].append(whole)
+            else:
+                fresh = self.spark.table(whole)
+                for name in self.runs:
+                    fresh = fresh.join(self.spark.table(name).select(*_HASHES), _HASHES, "left_anti")
+                new = self._save(fresh)
+                increments.append(self._save(self.spark.table(whole).join(self.spark.table(new).select(*_HASHES), _HASHES, "left_anti")))
+                levels[0].append(new)
+            self._compact(levels)
+            if len(increments) >= self.fanout:
+                increments = [self._summed(increments)]
+        except Exception:
+            self._sweep()
+            raise
+        self.levels, self.increments, self.version = levels, increments, self.version + 1
+        if self.manifest:
+            state = json.dumps({"levels": levels, "increments": increments, "buckets": self.buckets})
+            self.spark.createDataFrame([(self.version, state)], "version long, state string").coalesce(1).write.mode("append").saveAsTable(self.manifest)
+        self._sweep()
+
+    def _compact(self, levels: list[list[str]]) -> None:
         """Merge the runs of each level that is full into one of the next."""
-        for k in range(len(self.levels)):
-            if len(self.levels[k]) < self.fanout:
+        for k in range(len(levels)):
+            if len(levels[k]) < self.fanout:
                 continue
-            merged = self._union(self.levels[k]).repartition(self.buckets, *_HASHES)
-            if k + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[k + 1].append(self._save(merged))
-            self._drop(*self.levels[k])
-            self.levels[k] = []
+            if k + 1 == len(levels):
+                levels.append([])
+            levels[k + 1].append(self._save(self._union(levels[k]).repartition(self.buckets, *_HASHES)))
+            levels[k] = []
+
+    def _summed(self, increments: list[str]) -> str:
+        """One table of increments: a key has a row for each of them at most."""
+        return self._save(self._union(increments).repartition(self.buckets, *_HASHES).groupBy(*_HASHES).agg(F.sum("n").alias("n"), F.max("last").alias("last")))
 
     def _union(self, names: list[str]) -> DataFrame:
-        """The rows of several tables, read as plain files: a union of bucketed scans may pass for bucketed and isn't."""
-        base = self.spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        return self.spark.read.schema(self.spark.table(names[0]).schema).parquet(*(f"{base}/{name}" for name in names))
+        """The rows of several tables, read as plain files of the places that the catalogue names: a union of bucketed scans may pass for bucketed and isn't."""
+        places = [self.spark.sql(f"DESCRIBE TABLE EXTENDED {n}").where("col_name = 'Location'").first()["data_type"] for n in names]
+        return self.spark.read.schema(self.spark.table(names[0]).schema).parquet(*places)
 
     def frequent(self, min_docs: int) -> DataFrame:
         """h1, h2, last of the keys found in ``min_docs`` documents at least."""
@@ -129,13 +175,12 @@ class LineRuns:
             return self.spark.createDataFrame([], "h1 long, h2 long, last long")
         if not self.increments:
             return self._union(self.runs).where(F.col("n") >= min_docs).select(*_HASHES, "last")
-        # A key has a row for each batch at most.
-        more = self._save(self._union(self.increments).repartition(self.buckets, *_HASHES).groupBy(*_HASHES).agg(F.sum("n").alias("more"), F.max("last").alias("later")))
-        self._drop(*self.increments)
-        self.increments = [more]
+        if len(self.increments) > 1:
+            self.increments = [self._summed(self.increments)]
+        more = self.spark.table(self.increments[0]).select(*_HASHES, F.col("n").alias("more"), F.col("last").alias("later"))
         out = []
         for name in self.runs:
-            both = self.spark.table(name).join(self.spark.table(more), _HASHES, "left")
+            both = self.spark.table(name).join(more, _HASHES, "left")
             both = both.where(F.col("n") + F.coalesce("more", F.lit(0)) >= min_docs)
             out.append(both.select(*_HASHES, F.greatest("last", "later").alias("last")))
         return reduce(DataFrame.unionByName, out)
@@ -145,7 +190,11 @@ class LineRuns:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def drop(self) -> None:
-        self._drop(*self.runs, *self.increments)
+        """The store and all its tables."""
+        self.levels, self.increments = [[]], []
+        self._sweep()
+        if self.manifest:
+            self._drop(self.manifest)
 
 
 def dropped_keys(docs: DataFrame, text: str, key: str, min_length: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
@@ -157,12 +206,14 @@ def dropped_keys(docs: DataFrame, text: str, key: str, min_length: int, min_docs
     lines = written(rows.mapInArrow(_line_rows(min_length), fields("h1 long, h2 long, doc_id long, batch long")), "batch")
     if not ids.groupBy("doc_id").count().where("count > 1").isEmpty():  # rows that share an id are one document
         lines = written(lines.distinct(), "batch")
-    runs = LineRuns(spark, fanout=fanout)
-    for b in range(batches):
-        runs.add(lines.where(F.col("batch") == b).select("h1", "h2", "doc_id"))
-    frequent = written(runs.frequent(min_docs))
-    runs.drop()
-    lost = lines.select("h1", "h2", "doc_id").join(frequent, _HASHES).where(~F.col("doc_id").eqNullSafe(F.col("last")))
+    with LineRuns(spark, fanout=fanout) as runs:
+        for b in range(batches):
+            runs.add(lines.where(F.col("batch") == b).select("h1", "h2", "doc_id"))
+        frequent = written(runs.frequent(min_docs))
+    # A line that a third of all documents hold is dealt to SALTS tasks.
+    salts = F.explode(F.array(*(F.lit(k) for k in range(SALTS))))
+    salted = lines.select("h1", "h2", "doc_id", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)), F.lit(0)).cast("int").alias("salt"))
+    lost = salted.join(frequent.withColumn("salt", salts), [*_HASHES, "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
     whole = F.unhex(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")))
     return written(lost.select("doc_id", whole.alias("key")).groupBy("doc_id").agg(F.array_sort(F.collect_list("key")).alias("dropped")))
 

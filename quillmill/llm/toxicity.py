@@ -11,11 +11,15 @@ scored, and no unit crosses longer words. A text scores as its highest unit; it
 Training is on units of labelled texts. Which unit makes a text toxic is not given, so the witness of each toxic text is chosen anew after each round: first by letter n-grams
 that toxic texts share and others lack, then by the machine's own score. Units of texts that are
 not toxic are negative; those that score too high join the training set. Landmarks are frequent
-witnesses and some negatives; the features are the kernel's values at the landmarks times the
+witnesses and some negatives; units that hardly any but toxic texts hold, beyond chance, are positive
+throughout, since a text has one witness but may hold several insults. The features are the kernel's values at the landmarks times the
 inverse root of the landmarks' own kernel matrix; the squared hinge loss is minimised in that
 space. Since the decision is a weighted sum of kernel values at landmarks, it collapses to one
 weight for each letter triple, and whole texts are scored by looking those up.
 
+A table numbers the ``LETTERS`` most frequent letters of the sample; all others, of any script, share
+their numbers by a hash, so that they are seen too.
+
 The training sample has a documented bound: ``toxic`` and ``clean`` labelled texts, chosen by a
 hash of the id.
 
@@ -36,23 +40,32 @@ from .common import chunks, fields
 from .puquality import sampled, texts_of, trusted_labels
 from .wordtable import WordTable
 
-SPAN, DECAY, LETTERS, WINDOW = 7, 0.7, 48, 32
+SPAN, DECAY, LETTERS, WINDOW, CODES = 7, 0.7, 48, 32, 0x110000
 _LETTER: list[np.ndarray] = []
 _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 
 def _is_letter() -> np.ndarray:
     if not _LETTER:
-        _LETTER.append(np.fromiter((chr(c).isalpha() for c in range(1 << 16)), dtype=bool, count=1 << 16))
+        _LETTER.append(np.fromiter((chr(c).isalpha() for c in range(CODES)), dtype=bool, count=CODES))
     return _LETTER[0]
 
 
+def letter_codes(frequent: list[str]) -> np.ndarray:
+    """The number of each code point: 0 if it is no letter, its own if it is one of ``frequent``; other letters, of whatever script, share these numbers by a hash."""
+    points = np.arange(CODES, dtype=np.uint64)
+    code = np.where(_is_letter(), 1 + (points * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(LETTERS), 0).astype(np.int8)
+    for i, c in enumerate(sorted(frequent), 1):
+        code[ord(c)] = i
+    return code
+
+
 class Units:
     """The units of texts: code points of letters (``points``), the unit of each, the text of each unit."""
 
     def __init__(self, texts: list[str | None]):
         table = WordTable([t.lower() if t else t for t in texts])
-        points = np.minimum(table.points, 0xFFFF)
+        points = table.points
         spread = np.zeros(len(points) + 1, dtype=np.int64)
         spread[table.starts] = 1
         word = np.cumsum(spread[:-1]) - 1
@@ -127,7 +140,7 @@ class ToxicityModel:
 
     def units(self, units: Units) -> np.ndarray:
         """The decision of each unit."""
-        letters = self.code[units.points]
+        letters = self.code[units.points].astype(np.int64)
         total = np.zeros(len(letters), dtype=np.float32)
         for at, number, weight in triples(letters, units.unit, LETTERS + 1):
             total[at] += weight * self.weights[number]
@@ -146,7 +159,7 @@ class ToxicityModel:
 def _kernel_rows(strings: list[str], code: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     """Kernel values of strings and landmarks (a row of triple weights for each landmark)."""
     units = _as_units(strings)
-    letters = code[units.points]
+    letters = code[units.points].astype(np.int64)
     out = np.zeros((len(strings), landmarks.shape[0]), dtype=np.float64)
     for at, number, weight in triples(letters, units.unit, LETTERS + 1):
         np.add.at(out, units.unit[at], weight * landmarks[:, number].T)
@@ -158,7 +171,7 @@ def _as_units(strings: list[str]) -> Units:
     out = Units.__new__(Units)
     out.size = np.array([min(len(s), WINDOW) for s in strings], dtype=np.int64)
     joined = "".join(s[:WINDOW] for s in strings)  # units have no more letters
-    out.points = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4"), 0xFFFF).astype(np.int64)
+    out.points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
     out.unit = np.repeat(np.arange(len(strings)), out.size)
     out.doc = np.arange(len(strings))
     return out
@@ -167,7 +180,7 @@ def _as_units(strings: list[str]) -> Units:
 def _expanded(strings: list[str], code: np.ndarray) -> np.ndarray:
     """The weight of each triple in each string, divided by the string's norm."""
     units = _as_units(strings)
-    letters = code[units.points]
+    letters = code[units.points].astype(np.int64)
     width = (LETTERS + 1) ** 3
     out = np.zeros(len(strings) * width, dtype=np.float32)
     for at, number, weight in triples(letters, units.unit, LETTERS + 1):
@@ -211,25 +224,39 @@ def _first_witnesses(toxic: list[list[str]], clean: list[list[str]]) -> dict[str
     return {u: max((odds[g] for g in gs), default=0.0) for u, gs in of.items()}
 
 
+def telling_units(toxic: list[list[str]], clean: list[list[str]]) -> Counter:
+    """Units whose share of toxic texts cannot be chance: the log likelihood ratio against the share of
+    all texts is above that of one among all units, with a margin of e^3. With how many toxic texts hold each."""
+    high, low = (Counter(u for units in texts for u in set(units) if len(u) > 2) for texts in (toxic, clean))
+    base, least = len(toxic) / (len(toxic) + len(clean)), np.log(len(high) + 1) + 3.0
+    out = Counter()
+    for u, n in high.items():
+        other = low[u]
+        share = n / (n + other)
+        ratio = n * np.log(share / base) + (other * np.log((1 - share) / (1 - base)) if other else 0.0)
+        if share > max(base, 0.9) and ratio > least:
+            out[u] = n
+    return out
+
+
 def fit_from_units(toxic: list[list[str]], clean: list[list[str]], landmarks: int = 128, rounds: int = 4, seed: int = 3) -> ToxicityModel:
     """``toxic``, ``clean``: the units of each text."""
     if not toxic or not clean:
-        return ToxicityModel(np.zeros(1 << 16, dtype=np.int64), np.zeros(0), 0.0, 0.0, 1.0)
+        return ToxicityModel(np.zeros(CODES, dtype=np.int8), np.zeros(0), 0.0, 0.0, 1.0)
     rng = np.random.default_rng(seed)
     frequent = Counter(c for units in (*toxic, *clean) for u in units for c in u).most_common(LETTERS)
-    code = np.zeros(1 << 16, dtype=np.int64)
-    for i, (c, _) in enumerate(sorted(frequent), 1):
-        code[min(ord(c), 0xFFFF)] = i
+    code = letter_codes([c for c, _ in frequent])
     negatives = sorted({u for units in clean for u in units})
     believed: dict[str, float] = _first_witnesses(toxic, clean)
     hard: set[str] = {negatives[i] for i in rng.permutation(len(negatives))[:3000]}
     model = None
+    telling = telling_units(toxic, clean)
     flat = _as_units(negatives)
     toxic_units = sorted({u for units in toxic for u in units})
     flat_toxic = _as_units(toxic_units)
     for _ in range(rounds):
         witness = Counter(max(units, key=lambda u: (believed.get(u, -1e9), u)) for units in toxic if units)
-        witness = Counter({u: n for u, n in witness.items() if len(u) > 2})
+        witness = Counter({u: n for u, n in witness.items() if len(u) > 2}) | telling
         if not witness:
             break
         chosen = [u for u, _ in sorted(witness.items(), key=lambda x: (-x[1], x[0]))[: landmarks * 3 // 4]]

@@ -1,10 +1,12 @@
 """Each operator against a brute-force version, and its edge cases."""
 
 import hashlib
+import json
 import os
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -115,6 +117,20 @@ def test_bpe_equals_the_library(bpe, text):
     assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "the", "aé", "ab"])
+def test_bpe_of_very_long_words(bpe, letters):
+    word = "".join(random.choices(letters, k=20_000))
+    began = time.time()
+    ids = bpe[0].encode(word + " end")
+    assert time.time() - began < 1 and ids == bpe[1].encode(word + " end", add_special_tokens=False).ids
+    assert word not in bpe[0].words
+
+
+def test_bpe_refuses_other_files():
+    with pytest.raises(ValueError):
+        BoundaryBPE(json.dumps({"model": {"type": "BPE", "byte_fallback": True, "end_of_word_suffix": "</w>"}}).encode())
+
+
 def test_bpe_digests(spark, edge_dir, bpe):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{edge_dir}/documents.parquet").collect()}
     for r in Q.op1_bpe(spark, edge_dir).collect():
@@ -143,6 +159,39 @@ def test_language_without_letters():
     assert [model.predict(t) for t in (None, "", "12 !?", "a")] == [("und", 0.0)] * 3 + [("en", 1.0)]
 
 
+def test_ftrl_equals_a_dense_version():
+    """Coordinate by coordinate, by the published update rule."""
+    rng, rows = np.random.default_rng(3), []
+    for _ in range(40):
+        where = np.sort(rng.choice(12, 4, replace=False))
+        rows.append((where, rng.normal(size=4), int(rng.integers(3))))
+    model = LI.FTRL(3, 12)
+    z, n = [[0.0] * 12 for _ in range(3)], [[0.0] * 12 for _ in range(3)]
+
+    def weight(c, k):
+        if abs(z[c][k]) <= model.l1:
+            return 0.0
+        return -(z[c][k] - np.sign(z[c][k]) * model.l1) / ((model.beta + n[c][k] ** 0.5) / model.alpha + model.l2)
+
+    for where, values, label in rows:
+        model.learn(where, values, label)
+        ws = [[weight(c, k) for k in where] for c in range(3)]
+        e = np.exp([sum(w * v for w, v in zip(row, values)) for row in ws])
+        for c in range(3):
+            for k, v, w in zip(where, values, ws[c]):
+                g = (e[c] / e.sum() - (c == label)) * v
+                s = ((n[c][k] + g * g) ** 0.5 - n[c][k] ** 0.5) / model.alpha
+                z[c][k] += g - s * w
+                n[c][k] += g * g
+    assert model.weights() == pytest.approx(np.array([[weight(c, k) for k in range(12)] for c in range(3)]))
+
+
+def test_language_sample_is_bounded(spark):
+    rows = spark.range(3000).selectExpr("id", "concat('l', id % 60) as lang", "'text' as text")
+    got = LI.language_sample(rows, "text", "lang", "id", 700, 300, 600)
+    assert got.select("label").distinct().count() >= 55 and 400 < got.count() < 800
+
+
 def test_ftrl_learns_sparse_weights():
     rng = np.random.default_rng(0)
     model = LI.FTRL(2, 50)
@@ -426,6 +475,54 @@ def test_runs_take_new_batches(spark):
     runs.drop()
 
 
+def test_a_named_store_lasts(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "h1 long, h2 long, doc_id long")
+    spark.sql("CREATE DATABASE IF NOT EXISTS elsewhere")
+    first = LD.LineRuns(spark, buckets=2, fanout=2, name="lasting")
+    try:
+        first.add(frame([(1, 1, 1), (2, 2, 1)]))
+        first._save(frame([(9, 9, 9)]))  # as a lost driver leaves it
+        spark.sql("USE elsewhere")
+        first.add(frame([(1, 1, 2), (3, 3, 2)]))
+        spark.sql("USE default")
+        again = LD.LineRuns(spark, name="lasting")
+        assert (again.levels, again.increments, again.buckets) == (first.levels, first.increments, 2)
+        with pytest.raises(Exception):
+            again.add(frame([(1, 1, 3)]).withColumn("doc_id", F.raise_error(F.lit("lost")).cast("long")))
+        again.fanout = 2
+        again.add(frame([(1, 1, 3)]))
+        assert len(again.increments) <= 2
+        assert {(r.h1, r["last"]) for r in LD.LineRuns(spark, name="lasting").frequent(3).collect()} == {(1, 3)}
+    finally:
+        spark.sql("USE default")
+        LD.LineRuns(spark, name="lasting").drop()
+        spark.sql("DROP DATABASE elsewhere")
+    assert not [t for t in spark.catalog.listTables() if "lasting" in t.name]
+
+
+def test_line_dedup_in_another_database(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS other")
+    spark.sql("USE other")
+    try:
+        docs = spark.createDataFrame([(i, "a line that very many of the documents hold, word by word") for i in range(6)], "doc_id long, text string")
+        assert sorted(map(tuple, LD.dedup_lines(docs).collect()))[:2] == [(0, ""), (1, "")]
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith("quillmill_run")]
+    finally:
+        spark.sql("USE default")
+
+
+def test_discard(spark):
+    from quillmill.llm.common import discard, mark, written
+
+    since, df = mark(), spark.range(3)
+    one, two = written(df), written(df)
+    discard(spark, since, keep=two)
+    assert two.count() == 3
+    with pytest.raises(Exception):
+        one.count()
+    discard(spark, since)
+
+
 # --- 8 -----------------------------------------------------------------------------------------
 
 
@@ -645,7 +742,7 @@ def brute_kernel(a, b):
 
 
 def test_kernel_equals_brute_force():
-    code = np.zeros(1 << 16, dtype=np.int64)
+    code = np.zeros(TX.CODES, dtype=np.int8)
     for i, c in enumerate("abcdefgh", 1):
         code[ord(c)] = i
     strings = ["abcdef", "aXbcd", "hgfe", "abcabcabc", "ab", "aabbcc"]
@@ -666,6 +763,24 @@ def test_toxic_words_with_gaps():
     assert (TX.fit_from_units([], clean).score(["villain"]) == 0).all()
 
 
+def test_toxic_words_of_any_script():
+    clean = [[w for w in prose(30).split() if len(w) > 2] for _ in range(300)]
+    clean = [x + [random.choice(["добрый", "привет", "𐐨𐐩𐐪𐐫𐐬"])] for x in clean]
+    toxic = [random.sample(x, 5) + random.sample(["негодяй", "подлец", "𐐭𐐮𐐯𐐰𐐱𐐲"], 2) for x in clean[:120]]
+    model = TX.fit_from_units(toxic, clean)
+    assert (model.score(["ты негод-яй", "п о д л е ц", "𐐭𐐮𐐯𐐰𐐱𐐲", "ПОДЛЕЦ"]) >= 0.5).all()
+    assert (model.score(["добрый привет", "𐐨𐐩𐐪𐐫𐐬", prose(100)]) < 0.5).all()
+
+
+def test_toxicity_on_held_out(spark):
+    """Labels have noise: some toxic ones are on texts of symbols or one repeated word."""
+    d = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in Q.op10_toxicity(spark, d).where("held_out").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").distinct().collect()}
+    toxic, clean = ([got[i].predicted for i, t in labels.items() if i in got and (t == 1) == y] for y in (True, False))
+    assert np.mean(toxic) >= 0.9 and np.mean(clean) <= 0.03
+
+
 def test_guard():
     """The entry imports without the subpackage; the pipeline does not swallow errors."""
     import subprocess
