@@ -65,6 +65,15 @@ def with_readability(df: DataFrame, easy_words: list[str] | None = None) -> Data
     return df.withColumns({"consensus_grade": F.round(mean, 1) + 0.0, "flesch_reading_ease": M.flesch_ease(F.col("counts"))})
 
 
+def sentence_grade(sentence: Column) -> Column:
+    """The consensus grade of one sentence."""
+
+    def of(v: Column) -> Column:
+        return F.round(sum(M.grade_columns(v.c, v.ends).values(), F.lit(0.0)) / len(M.GRADES), 1) + 0.0
+
+    return T.let(T.let(T.words(sentence), lambda ws: F.struct(M.text_counts(ws, F.lit(1)).alias("c"), M.linsear_sentences(ws).alias("ends"))), of)
+
+
 def with_tone(df: DataFrame, contractions: list[str] = L.CONTRACTIONS, compound: Column | None = None) -> DataFrame:
     """Adds contraction_density, latin, nominal, formal_marker_count, compound (given, or 0)."""
     df = df.withColumns(

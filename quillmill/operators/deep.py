@@ -124,21 +124,29 @@ def sentiment_label(compound: Column) -> Column:
     return F.when(compound >= 0.05, "positive").when(compound <= -0.05, "negative").otherwise("neutral")
 
 
-def validated_label(raw: Column, confidence: Column, labels: list[str], fallback: str, threshold: float) -> Column:
-    """The label, if it is one of the task's and sure enough; else the fallback with confidence 0."""
+def validated_label(raw: Column, confidence: Column, labels: list[str] | None, fallback: str | None, threshold: float | None) -> Column:
+    """The label, if it is one of the task's and sure enough; else the fallback with confidence 0, marked
+    as such. Tasks without labels take any text."""
+    if labels is None:
+        return F.struct(T.stripped(raw).alias("label"), confidence.alias("confidence"), F.lit(False).alias("is_fallback"))
     label = F.lower(T.stripped(raw))
-    fine = F.coalesce(label.isin(labels) & (confidence >= threshold), F.lit(False))
-    return F.struct(F.when(fine, label).otherwise(fallback).alias("label"), F.when(fine, confidence).otherwise(0.0).alias("confidence"))
+    fine = F.coalesce(label.isin(labels) & ((confidence >= threshold) if threshold is not None else F.lit(True)), F.lit(False))
+    return F.struct(F.when(fine, label).otherwise(fallback or "").alias("label"), F.when(fine, confidence).otherwise(0.0).alias("confidence"), (~fine).alias("is_fallback"))
 
 
 def parsed_tone(raw: Column, confidence: Column, threshold: float = 0.60) -> Column:
-    """``dimension: value`` pairs with a value of low, medium or high, as a map; empty below the threshold."""
-    text = F.lower(raw)
-    pattern = r"(formality|confidence|directness)\s*[:=]\s*(low|medium|high)"
-    keys, values = (F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2))
-    # Of a dimension that is named twice the last value holds.
-    last = F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k, F.element_at(F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda p: p["k"] == k), -1)["v"])))
-    return F.when(confidence >= threshold, last).otherwise(F.expr("cast(map() as map<string, string>)"))
+    """``dimension: value`` pairs, whatever the dimension's name, as a map to label, confidence and
+    is_fallback: a value other than low, medium or high, or one that is not sure enough, becomes medium
+    with confidence 0. Of a dimension that is named twice the last value holds."""
+    pattern = F.lit(r"(?U)(\w+)\s*[:=]\s*(\w+)")
+    text = F.lower(F.coalesce(raw, F.lit("")))
+
+    def of(pairs: Column) -> Column:
+        names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+        last = lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]
+        return F.map_from_entries(F.transform(names, lambda k: F.struct(k, validated_label(last(k), confidence, ["low", "medium", "high"], "medium", threshold))))
+
+    return T.let(F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("k"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("v")), of)
 
 
 def parsed_compliance(raw: Column, confidence: Column, threshold: float = 0.65) -> Column:
@@ -182,12 +190,14 @@ def passive_ratio(tokens: DataFrame) -> DataFrame:
     return per.groupBy("doc_id").agg(F.avg(F.when(F.col("n") > 0, 1.0).otherwise(0.0)).alias("passive_voice_ratio"), F.least(F.avg("n"), F.lit(1.0)).alias("passive_token_ratio"))
 
 
-def pos_formality(tokens: DataFrame, contraction_density: Column, formal_markers: Column, n_words: Column, personal_density: Column) -> DataFrame:
-    """By document the formality of Heylighen and Dewaele with the contraction, marker and pronoun parts."""
-    alpha = F.col("is_alpha")
+def pos_formality(tokens: DataFrame, docs: DataFrame, contraction_density="contraction_density", formal_markers="formal_marker_count", n_words="token_count", personal_density="personal_density") -> DataFrame:
+    """By document (doc_id, formality) the formality of Heylighen and Dewaele with the contraction, marker
+    and pronoun parts, which are columns of ``docs``. Documents without alphabetic tokens have 0.5."""
+    alpha, of = F.col("is_alpha"), lambda c: c if isinstance(c, Column) else F.col(c)
     share = lambda tags: 100 * T.ratio(F.count_if(alpha & F.col("pos").isin(tags)), F.count_if(alpha))
     f = T.clip((share(L.FORMAL_POS) - share(L.INFORMAL_POS) + 100) / 200)
-    got = tokens.groupBy("doc_id").agg(F.count_if(alpha).alias("n_alpha"), f.alias("f"), F.countDistinct("sent_idx").alias("n_sent"))
-    short = F.when(F.col("n_alpha") / F.col("n_sent") < 10, 0.8).otherwise(1.0)
-    value = 0.35 * F.col("f") * short + 0.35 * (1 - contraction_density) + 0.15 * F.least(F.lit(1.0), formal_markers / F.greatest(n_words / 100, F.lit(1.0))) + 0.15 * (1 - personal_density)
-    return got.withColumn("formality", F.when(F.col("n_alpha") > 0, T.clip(value)).otherwise(F.lit(0.5)))
+    got = tokens.groupBy("doc_id").agg(F.count_if(alpha).alias("__alpha"), f.alias("__f"), F.countDistinct("sent_idx").alias("__sentences"))
+    joined = docs.join(got, "doc_id", "left")
+    short = F.when(F.col("__alpha") / F.col("__sentences") < 10, 0.8).otherwise(1.0)
+    value = 0.35 * F.col("__f") * short + 0.35 * (1 - of(contraction_density)) + 0.15 * F.least(F.lit(1.0), of(formal_markers) / F.greatest(of(n_words) / 100, F.lit(1.0))) + 0.15 * (1 - of(personal_density))
+    return joined.select("doc_id", F.when(F.col("__alpha") > 0, T.clip(value)).otherwise(F.lit(0.5)).alias("formality"))

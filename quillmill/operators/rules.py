@@ -4,12 +4,14 @@ A rule is a dict as in a persona's YAML. The driver turns its tokens, patterns a
 literal patterns, so that Spark compiles each once; nothing is joined. Each rule yields, for one
 row, an array of matches: matched_text, line and col (from 1, in the scoped segment), replacement.
 
-Rules of the types sequence, llm_eval, tone and brand_voice match nothing; script is refused. A
-pattern that Java cannot compile is skipped when the rule is compiled.
+Rules of the types sequence, llm_eval, tone and brand_voice match nothing; script is refused.
+Patterns are written in Python's syntax and translated to Java's; one that either refuses is
+skipped when the rule is compiled.
 """
 
 import re
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,11 +35,23 @@ def quoted(token: str) -> str:
     return r"\b" + re.sub(r"([^\w\s])", r"\\\1", token) + r"\b"
 
 
+def java_pattern(pattern: str) -> str:
+    """A pattern of Python's syntax in Java's: named groups, their back references, the end of the text."""
+    named = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
+    return re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{m[1].replace('_', '')}>", named).replace(r"\Z", r"\z")
+
+
 def compiles(pattern: str) -> bool:
+    """Whether both Python, whose syntax rules are written in, and Java, which runs them, accept a pattern."""
+    from pyspark import SparkContext
+
     try:
         re.compile(pattern)
+        running = SparkContext._active_spark_context
+        if running is not None:
+            running._jvm.java.util.regex.Pattern.compile(_FLAGS + java_pattern(pattern))
         return True
-    except re.error:
+    except (re.error, IllegalArgumentException):
         return False
 
 
@@ -105,7 +119,7 @@ def occurrences(segment: Column, pattern: str, replacement: Column | None = None
 
 
 def _patterns(rule: dict) -> list[str]:
-    return [quoted(t) for t in rule.get("tokens") or []] + [r for r in rule.get("raw") or [] if compiles(r)]
+    return [quoted(t) for t in rule.get("tokens") or []] + [java_pattern(r) for r in rule.get("raw") or [] if compiles(r)]
 
 
 def _joined(arrays: list[Column]) -> Column:
@@ -162,7 +176,7 @@ def conditional(s: Column, rule: dict) -> Column:
     if not rule.get("match") or not compiles(rule["match"]):
         return _joined([])
     hits = _joined([occurrences(s, quoted(t)) for t in rule.get("tokens") or []])
-    return F.when(s.rlike(_FLAGS + rule["match"]), F.expr(f"cast(array() as {MATCH})")).otherwise(hits)
+    return F.when(s.rlike(_FLAGS + java_pattern(rule["match"])), F.expr(f"cast(array() as {MATCH})")).otherwise(hits)
 
 
 def is_title_case(s: Column) -> Column:

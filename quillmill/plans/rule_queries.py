@@ -252,9 +252,22 @@ def prompts(spark, sf_dir):
     return found.select("doc_id", "idx", D.estimated_subwords(T.words(F.col("s"))).alias("n_subwords"), D.prompt("core_meaning", F.col("s")).alias("prompt"))
 
 
-@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') AND value >= 50 THEN event_type ELSE 'view' END AS label, CASE WHEN event_type IN ('click', 'view') AND value >= 50 THEN value ELSE 0 END::DOUBLE AS confidence FROM events", base=False)
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') AND value >= 50 THEN event_type ELSE 'view' END AS label, CASE WHEN event_type IN ('click', 'view') AND value >= 50 THEN value ELSE 0 END::DOUBLE AS confidence, NOT coalesce(event_type IN ('click', 'view') AND value >= 50, false) AS is_fallback FROM events", base=False)
 def label_validation(spark, sf_dir):
     """Event types stand for raw labels and values for confidences."""
     found = read_table(spark, sf_dir, "events", ["event_id", "event_type", "value"])
     v = D.validated_label(F.upper("event_type"), F.col("value"), ["click", "view"], "view", 50.0)
     return found.select("event_id", v.alias("v")).select("event_id", "v.*")
+
+
+_LEVEL = "CASE event_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'low' ELSE 'odd' END"
+
+
+@query(f"WITH e AS (SELECT event_id, event_type, value / 100 AS c, lower({_LEVEL}) AS f FROM events) SELECT event_id, CASE WHEN c >= 0.6 AND f <> 'odd' THEN f ELSE 'medium' END AS formality, CASE WHEN c >= 0.6 AND f <> 'odd' THEN c ELSE 0 END::DOUBLE AS confidence, NOT coalesce(c >= 0.6 AND f <> 'odd', false) AS is_fallback, 2::BIGINT AS n_dimensions, 'medium' AS other FROM e", base=False)
+def tone_parsing(spark, sf_dir):
+    """Raw outputs made of event types and numbers; any name is a dimension."""
+    found = read_table(spark, sf_dir, "events", ["event_id", "event_type", "value"])
+    raw = F.concat(F.lit("Formality: odd, formality : "), F.expr(_LEVEL), F.lit("; "), F.col("event_type"), F.lit("= medium"))
+    rows = found.select("event_id", "event_type", D.parsed_tone(raw, F.col("value") / 100).alias("t"))
+    one = F.col("t")["formality"]
+    return rows.select("event_id", one["label"].alias("formality"), one["confidence"].alias("confidence"), one["is_fallback"].alias("is_fallback"), F.size("t").cast("long").alias("n_dimensions"), F.element_at("t", F.lower("event_type"))["label"].alias("other"))

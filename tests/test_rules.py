@@ -96,6 +96,39 @@ def test_validation_codes(text, code):
     assert code is None or code in [e["code"] for e in result["errors"]]
 
 
+@pytest.mark.parametrize("more", ["  - {id: b, type: existence, raw: 5}", "  - {id: [1], type: existence}", "  - foo", "  - {id: c, type: existence, tokens: abc}", "  - {id: d, type: existence, scope: 4}", "tags: [1]", "health_score_weights: {readability: 1.0}", "vocabulary: 3"])
+def test_malformed_personas_are_errors(more, tmp_path):
+    assert not P.validate_yaml(GOOD + more)["valid"]
+    (tmp_path / "x.yaml").write_text(GOOD + more)
+    assert P.parse_file(tmp_path / "x.yaml") is None
+    assert not P.validate_yaml(GOOD.replace("0.5", "high"))["valid"]
+    (tmp_path / "y.yaml").write_bytes(b"\xff\xfe name: x")
+    assert P.scan([(str(tmp_path), "user")]) == []
+
+
+def test_builtin_rules(spark):
+    personas = P.builtin_personas()
+    assert sum(len(p["rules"]) for p in personas) == 53 and all(P.validate(p)["valid"] for p in personas)
+    text = "Furthermore, we do not agree. It is what it is."
+    r = api.analyze(spark.createDataFrame([(1, text)], "doc_id long, text string"), persona=next(p for p in personas if p["name"] == "slack-casual")).first().result
+    assert "RULE_slack-no-formal-language" in [f.code for f in r.flags[0]] and r.rules.rule_violations >= 1
+    assert [x.sentence_index for x in r.sentences] == [0, 1] and all(x.readability_grade is not None and x.sentiment == 0 for x in r.sentences)
+    low = api.analyze(spark.createDataFrame([(1, text)], "doc_id long, text string"), persona={"name": "far", "tone": dict.fromkeys(("formality", "confidence", "directness"), 0.0) | dict.fromkeys(("warmth", "verbosity", "energy"), 1.0)}).first().result
+    assert low.persona_alignment.overall_compliance >= 0.5 or any("get_persona far" in s for s in low.next_steps)
+
+
+def test_patterns_run_as_java_does(spark):
+    assert [m[0] for m in run(spark, {"type": "existence", "raw": [r"(?P<a_b>t)he (?P=a_b)he"]})] == ["The the"]
+    assert run(spark, {"type": "existence", "raw": [r"(?<x>the)", r"(?a)the"]}) == []
+
+
+def test_compliance_delta(spark):
+    pairs = spark.createDataFrame([(1, "We don't care at all, do we?", "One must act."), (2, "Same text here.", "Same text here.")], "pair_id long, original string, rewritten string")
+    got = {r.pair_id: r.persona_compliance_delta for r in api.compare(pairs, persona={"name": "p", "tone": {"formality": 0.9}}).collect()}
+    assert got[2] == 0 and got[1] is not None
+    assert "persona_compliance_delta" not in api.compare(pairs).columns
+
+
 def test_secrets_are_warnings():
     result = P.validate_yaml(GOOD + "api_key: abc\nnote: AKIA" + "A" * 16)
     assert result["valid"] and [w["code"] for w in result["warnings"]] == ["SECRET_DETECTED"] * 2
@@ -116,7 +149,8 @@ def test_catalogue(spark, tmp_path):
     (tmp_path / "broken.yaml").write_text("a: [")
     found = P.load_catalogue(spark, [(str(tmp_path), "user")])
     assert found.count() == 12
-    assert P.get_persona(found, "blog-post")["path"] == path
+    whole = P.get_persona(found, "blog-post")
+    assert whole["path"] == path and whole["tier"] == "user" and whole["rules"] == [{"id": "a", "type": "existence", "tokens": ["x"]}]
     assert P.get_persona(found, "technical")["name"] == "technical-docs"
     assert S.with_tags(found, ["CHAT"]).first().name == "slack-casual"
     with pytest.raises(P.PersonaError):
@@ -137,9 +171,12 @@ def test_compare(spark):
 def test_model_output(spark):
     one = spark.range(1)
     v = one.select(D.validated_label(F.lit(" Formal "), F.lit(0.7), ["formal"], "neutral", 0.65).alias("a"), D.validated_label(F.lit("odd"), F.lit(0.9), ["formal"], "neutral", 0.65).alias("b")).first()
-    assert tuple(v.a) == ("formal", 0.7) and tuple(v.b) == ("neutral", 0.0)
+    assert tuple(v.a) == ("formal", 0.7, False) and tuple(v.b) == ("neutral", 0.0, True)
     t = one.select(D.parsed_tone(F.lit("Formality: high, confidence: low"), F.lit(0.9)).alias("t"), D.parsed_tone(F.lit("formality: high"), F.lit(0.1)).alias("u")).first()
-    assert t.t == {"formality": "high", "confidence": "low"} and t.u == {}
+    assert {k: tuple(x) for k, x in t.t.items()} == {"formality": ("high", 0.9, False), "confidence": ("low", 0.9, False)}
+    assert {k: tuple(x) for k, x in t.u.items()} == {"formality": ("medium", 0.0, True)}
+    w = one.select(D.parsed_tone(F.lit("mood = Great, directness: low"), F.lit(0.9)).alias("t"), D.validated_label(F.lit(" Any text "), F.lit(0.1), None, None, None).alias("f")).first()
+    assert {k: tuple(x) for k, x in w.t.items()} == {"mood": ("medium", 0.0, True), "directness": ("low", 0.9, False)} and tuple(w.f) == ("Any text", 0.1, False)
     c = one.select(D.parsed_compliance(F.lit("minor-violation: too long"), F.lit(0.9)).alias("c")).first().c
     assert tuple(c) == ("minor-violation", "too long", 0.9)
     with pytest.raises(ValueError):
@@ -150,6 +187,9 @@ def test_model_output(spark):
 def test_token_table(spark):
     tokens = spark.createDataFrame([(1, 0, 0, "It", "PRON", "nsubjpass", True), (1, 0, 1, "fell", "VERB", "root", True), (1, 1, 0, "Dogs", "NOUN", "nsubj", True)], "doc_id long, sent_idx int, tok_idx int, text string, pos string, dep string, is_alpha boolean")
     assert D.passive_ratio(tokens).first().passive_voice_ratio == 0.5
+    docs = spark.createDataFrame([(1, 0.1, 2, 50, 0.2), (2, 0.0, 0, 1, 0.0)], "doc_id long, contraction_density double, formal_marker_count long, token_count long, personal_density double")
+    got = {r.doc_id: r.formality for r in D.pos_formality(tokens, docs).collect()}
+    assert got == {1: pytest.approx(0.35 * (1 / 3 - 2 / 3 + 1) / 2 * 0.8 + 0.35 * 0.9 + 0.15 + 0.15 * 0.8), 2: 0.5}
     assert {r.sent_idx: r.information_density for r in D.token_metrics(tokens).collect()} == {0: 0.5, 1: 1.0}
 
 
