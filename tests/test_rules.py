@@ -151,7 +151,7 @@ def test_catalogue(spark, tmp_path):
     assert found.count() == 12
     whole = P.get_persona(found, "blog-post")
     assert whole["path"] == path and whole["tier"] == "user" and whole["rules"] == [{"id": "a", "type": "existence", "tokens": ["x"]}]
-    assert P.get_persona(found, "technical")["name"] == "technical-docs"
+    assert P.get_persona(found, "technical-d")["name"] == "technical-docs"
     assert S.with_tags(found, ["CHAT"]).first().name == "slack-casual"
     with pytest.raises(P.PersonaError):
         P.get_persona(found, "zzz")
