@@ -56,14 +56,11 @@ def mark() -> int:
     return len(_WRITTEN)
 
 
-def discard(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
-    """Delete the tables that ``written`` made after ``since``, but those that ``keep`` reads. For results that are saved: what reads a deleted table fails."""
-    kept = {f.rsplit("/", 1)[0].split("quillmill-")[-1].split("/")[0] for f in keep.inputFiles()} if keep is not None else set()
-    left = []
-    for path in _WRITTEN[since:]:
-        if path.split("quillmill-")[-1] in kept:
-            left.append(path)
-            continue
+def discard(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Delete the tables that ``written`` made after ``since``, but the last one if that is to stay. For results that are saved: what reads a deleted table fails."""
+    paths = _WRITTEN[since:]
+    left = paths[-1:] if keep_last else []
+    for path in paths[: len(paths) - len(left)]:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     _WRITTEN[since:] = left

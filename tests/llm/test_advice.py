@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmill.llm import bagminhash as B
 from quillmill.llm import queries as Q
@@ -57,3 +58,44 @@ def test_near_dedup_of_repeated_and_null_ids(spark):
     kept_third = [r for r in got if r[0] is None and r[1]]
     assert len(kept_third) == 1 and kept_third[0][1].startswith(third)
     assert [r for r in got if r not in kept_third] == sorted([(1, first), (1, second), (None, None)], key=str)
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """The rows after each stage of a small corpus, worked out by hand and by the tokenizers library."""
+    import random
+
+    import corpus_pipeline as P
+    from tokenizers import Tokenizer
+
+    rng = random.Random(2)
+    english = [" ".join(rng.choices(["the", "house", "with", "that", "river", "and", "water", "under", "bridge"], k=60)) for _ in range(40)]
+    german = [" ".join(rng.choices(["das", "haus", "mit", "fluss", "und", "wasser", "unter", "brücke", "nicht"], k=60)) for _ in range(40)]
+    shared = "this very line stands in a good many of the documents of this corpus"
+    texts = [t + "\n" + shared if i % 8 == 0 else t for i, t in enumerate(english + german)]
+    rows = [(i, t, "en" if i < 40 else "de", "ab"[i % 2]) for i, t in enumerate(texts)]
+    rows += [(80, texts[1], "en", "a"), (81, texts[1] + " more", None, "b"), (82, None, "en", "a"), (83, "12 !?", "en", "a"), (84, "", None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(P.STAGES)
+
+    def of(df):
+        return {r.doc_id: r.text for r in df.collect()}
+
+    one = stages["language_id"](spark, docs, str(tmp_path))
+    assert of(one) == {i: t for i, t, *_ in rows if t and any(c.isalpha() for c in t)}
+    two = stages["line_dedup"](spark, one, str(tmp_path))
+    last = max(i for i, t in enumerate(texts) if shared in t)
+    assert of(two) == {i: t if i == last else t.replace("\n" + shared, "") for i, t in of(one).items()}
+    three = stages["near_dedup"](spark, two, str(tmp_path))
+    assert of(three) == {i: t for i, t in of(two).items() if i not in (80, 81)}
+    four = stages["mixing"](spark, three, str(tmp_path))
+    whole = of(three)
+    mixed = [(r.doc_id, r.text) for r in four.collect()]
+    assert sum(len(t.split()) for _, t in mixed) == sum(len(t.split()) for t in whole.values())
+    assert all(whole[i].startswith(t) for i, t in mixed) and sum(t != whole[i] for i, t in mixed) <= 2
+    library = Tokenizer.from_file(Q.vocabulary_path())
+    for r in stages["bpe"](spark, four, str(tmp_path)).collect():
+        assert list(r.ids) in [library.encode(t, add_special_tokens=False).ids for i, t in mixed if i == r.doc_id]
+        assert r.decoded == library.decode(list(r.ids), skip_special_tokens=False)
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(of(stages["language_id"](spark, unlabelled, str(tmp_path)))) == sorted(of(one))

@@ -516,7 +516,7 @@ def test_discard(spark):
 
     since, df = mark(), spark.range(3)
     one, two = written(df), written(df)
-    discard(spark, since, keep=two)
+    discard(spark, since, keep_last=True)
     assert two.count() == 3
     with pytest.raises(Exception):
         one.count()
