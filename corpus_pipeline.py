@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmill.llm.bagminhash import without_near_duplicates
 from quillmill.llm.bpe import bpe_round_trip
-from quillmill.llm.common import fold_of, small_batches, table, written
+from quillmill.llm.common import discard, fold_of, mark, small_batches, table, written
 from quillmill.llm.langid import UNKNOWN, fit_language_model, predict_language
 from quillmill.llm.linededup import dedup_lines
 from quillmill.llm.mixing import mixed_documents
@@ -21,9 +21,11 @@ LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those of no language that the model is sure of."""
+    """Rejects documents without a letter and those of no language that the model is sure of. Where no row has a text and a language to learn from, none is known to be wrong, so all documents with a letter stay."""
     small_batches(spark)
     model = fit_language_model(docs.where(fold_of(F.col("doc_id"), 4) != 2), "text", "lang", "doc_id")
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     judged = docs.withColumn("__quillmill_language", predict_language(docs, model)("text"))
     kept = (F.col("__quillmill_language.lang_pred") != UNKNOWN) & (F.col("__quillmill_language.score") >= LEAST_SCORE)
     return judged.where(kept).select(*docs.columns)
@@ -61,7 +63,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. Of the tables in the shared folder each stage's result stays until the next one's is written."""
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        discard(spark, since, keep_last=True)
     return STAGES[-1][1](spark, docs, sf_dir)
