@@ -6,8 +6,8 @@ the key. Adding a batch of lines: the batch is aggregated by key and merge-anti-
 run; keys that no run has become a new run of level 0, increments for known keys go to an
 increments run. When a level holds ``fanout`` runs they are merged into one of the next level, and
 so are as many increments into one.
-Runs have distinct keys, so compaction only merges. Runs and batches have equal buckets, so these
-joins need no shuffle of the runs.
+Runs have distinct keys, so compaction only merges. Runs and batches have equal buckets, each one
+sorted file, so these joins merge the files as they lie: no shuffle and no sort of the runs.
 
 ``dedup_lines`` deals the documents to batches by a hash of the id (each id lies in one batch, so
 counts add up), feeds them to a store, and drops the lines of keys found in ``min_docs`` documents
@@ -25,6 +25,7 @@ ids. Keys of under ``min_length`` code points always stay. Hashes have 128 bits.
 import hashlib
 import json
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 from typing import Iterator
 
@@ -76,6 +77,18 @@ def _line_rows(min_length: int):
     return rows
 
 
+@contextmanager
+def sorted_scans(spark: SparkSession):
+    """Lets plans made within take the order of bucketed tables of one file a bucket from their files; the session's setting returns after."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class LineRuns:
     """The store. Its tables lie in the database that is current when it is made.
 
@@ -108,7 +121,8 @@ class LineRuns:
 
     def _save(self, df: DataFrame) -> str:
         name = f"{self.database}.{self.prefix}{uuid.uuid4().hex}"
-        df.write.bucketBy(self.buckets, *_HASHES).sortBy(*_HASHES).format("parquet").saveAsTable(name)
+        with sorted_scans(self.spark):
+            df.write.bucketBy(self.buckets, *_HASHES).sortBy(*_HASHES).format("parquet").saveAsTable(name)
         return name
 
     @property
@@ -209,7 +223,8 @@ def dropped_keys(docs: DataFrame, text: str, key: str, min_length: int, min_docs
     with LineRuns(spark, fanout=fanout) as runs:
         for b in range(batches):
             runs.add(lines.where(F.col("batch") == b).select("h1", "h2", "doc_id"))
-        frequent = written(runs.frequent(min_docs))
+        with sorted_scans(spark):
+            frequent = written(runs.frequent(min_docs))
     # A line that a third of all documents hold is dealt to SALTS tasks.
     salts = F.explode(F.array(*(F.lit(k) for k in range(SALTS))))
     salted = lines.select("h1", "h2", "doc_id", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)), F.lit(0)).cast("int").alias("salt"))
