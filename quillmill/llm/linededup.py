@@ -228,7 +228,8 @@ def dropped_keys(docs: DataFrame, text: str, key: str, min_length: int, min_docs
     # A line that a third of all documents hold is dealt to SALTS tasks.
     salts = F.explode(F.array(*(F.lit(k) for k in range(SALTS))))
     salted = lines.select("h1", "h2", "doc_id", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)), F.lit(0)).cast("int").alias("salt"))
-    lost = salted.join(frequent.withColumn("salt", salts), [*_HASHES, "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
+    # A merge join at every size: frequent keys grow with the corpus and are no side to broadcast.
+    lost = salted.join(frequent.withColumn("salt", salts).hint("merge"), [*_HASHES, "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
     whole = F.unhex(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")))
     return written(lost.select("doc_id", whole.alias("key")).groupBy("doc_id").agg(F.array_sort(F.collect_list("key")).alias("dropped")))
 
